@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 BAR = "▁"
 #: Segments and pairs that a worker remembers at most; then it starts anew.
-MOST_SEGMENTS, MOST_PAIRS = 500_000, 1_000_000
+MOST_SEGMENTS, MOST_PAIRS = 1_200_000, 1_000_000
 
 
 class Transducer:
@@ -52,7 +52,6 @@ class Transducer:
                 self.unknown, self.pieces[-1] = k, " ⁇ ".encode()
             elif kind in (kinds.NORMAL, kinds.USER_DEFINED):
                 self.score[p.piece], self.ids[p.piece] = p.score, k
-        self.longest = max(map(len, self.ids), default=1)
         self.least = min(self.score.values(), default=0.0) - 10
         # Arcs start and end at BAR unless a piece holds a BAR behind another character.
         if any(BAR in p.lstrip(BAR) for p in self.ids):
@@ -60,8 +59,11 @@ class Transducer:
         self.line_feed_alone = not any("\n" in p for p in self.ids)
         self._allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self.arcs = {p for p in self.ids if not self.merges or self._merged(p) == [p]}
+        self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # The transducer's input letters so far: 1 if they are an arc's, plus 2 if an arc goes on from them.
+        self.steps = {p: int(not self.merges or self._merged(p) == [p]) for p in self.ids}
+        for prefix in {p[:k] for p, arc in self.steps.items() if arc for k in range(1, len(p))}:
+            self.steps[prefix] = self.steps.get(prefix, 0) | 2
 
     def _merged(self, text: str) -> list[str]:
         """The result of merging the best-scored neighbours, the leftmost of equal ones, as long as there are any."""
@@ -84,7 +86,13 @@ class Transducer:
         if found is None:
             if len(self._allowed) > MOST_PAIRS:
                 self._allowed.clear()
-            found = self._allowed[a, b] = self._merged(a + b) == [a, b]
+            if a[-1] + b[0] not in self.inside:  # no merge reaches over the border
+                found = True
+            elif self.steps.get(a + b, 0) & 1:  # the two become one
+                found = False
+            else:
+                found = self._merged(a + b) == [a, b]
+            self._allowed[a, b] = found
         return found
 
     def path(self, text: str) -> list[str]:
@@ -93,9 +101,10 @@ class Transducer:
         A place keeps one state: with merges only one last piece has a finite weight there,
         and otherwise the last piece doesn't matter for what follows.
         """
-        if text in self.arcs:
+        steps = self.steps
+        if steps.get(text, 0) & 1:
             return [text]
-        n, arcs, prefixes, allowed = len(text), self.arcs, self.prefixes, self._allowed
+        n, merges, allowed = len(text), self.merges, self._allowed
         weight: list[float | None] = [0.0] + [None] * n
         back: list[tuple[str, int]] = [("", 0)] * (n + 1)
         for begin in range(n):
@@ -105,15 +114,20 @@ class Transducer:
             last = back[begin][0]
             for end in range(begin + 1, n + 1):
                 piece = text[begin:end]
-                if piece in arcs or end == begin + 1:
-                    if self.merges and last:
-                        follows = allowed.get((last, piece))
-                        if not (self._follows(last, piece) if follows is None else follows):
-                            continue
-                    w = so_far - self.score.get(piece, self.least)
-                    if weight[end] is None or w < weight[end]:
-                        weight[end], back[end] = w, (piece, begin)
-                if piece not in prefixes:
+                step = steps.get(piece)
+                if step is None and end > begin + 1:
+                    break
+                if step is None or step & 1 or end == begin + 1:
+                    known = weight[end]
+                    if merges:
+                        # A place that a path has reached has no other path.
+                        if known is None and (not last or (allowed[last, piece] if (last, piece) in allowed else self._follows(last, piece))):
+                            weight[end], back[end] = so_far - self.score.get(piece, self.least), (piece, begin)
+                    else:
+                        w = so_far - self.score.get(piece, self.least)
+                        if known is None or w < known:
+                            weight[end], back[end] = w, (piece, begin)
+                if step is None or step < 2:
                     break
         out, end = [], n
         while end:
@@ -140,8 +154,16 @@ class Transducer:
         """Ids of what stands between spaces: behind its space, or from its line feed on."""
         if len(self.known) > MOST_SEGMENTS:
             self.known.clear()
-        for chunk in {c for c in chunks if c not in self.known}:
-            self.known[chunk] = self._parts(chunk if chunk[:1] == "\n" else BAR + chunk)
+        known = self.known
+        for chunk in chunks:
+            if chunk not in known:
+                stem = chunk[:-1]
+                if len(stem) > 1 and chunk[-2:] not in self.inside and chunk[-1] != "\n":  # a border that no piece reaches over
+                    if stem not in known:
+                        known[stem] = self._parts(stem if stem[:1] == "\n" else BAR + stem)
+                    known[chunk] = known[stem] + self._parts(chunk[-1])
+                else:
+                    known[chunk] = self._parts(chunk if chunk[:1] == "\n" else BAR + chunk)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
