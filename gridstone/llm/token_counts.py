@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Chunks between white space whose counts a worker remembers at most; then it starts anew.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 1_200_000
 
 
 def collapse_white(text: Column) -> Column:
@@ -84,7 +84,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     """docs with n_tokens: what the library counts without added special tokens.
 
     cache: a folder that all executors share. Contents that it lacks for this tokenizer
-    are encoded and appended, each once for an input partition that has it; then all rows
+    are encoded, each once for an input partition that has it, and appended once; then all rows
     get their counts by a join on the content's digest. normalise must not change counts.
     A null text counts as empty (0). Repeated rows get equal counts. Empty table: no rows.
     A column n_tokens of docs is replaced.
@@ -111,7 +111,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
                 done.clear()
             yield pa.RecordBatch.from_pydict({"content": pa.array(contents, pa.binary()), "n_tokens": pa.array(counts, pa.int64())})
 
-    fresh = todo.mapInArrow(encode, "content binary, n_tokens long")
+    fresh = todo.mapInArrow(encode, "content binary, n_tokens long").dropDuplicates(["content"])
     fresh.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     known = read_cache(spark, cache, version).withColumnRenamed("content", "_content")
     return rows.join(known, "_content").drop("_content")
