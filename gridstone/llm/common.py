@@ -139,6 +139,20 @@ def text_groups(column, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndar
 
 # ---------------------------------------------------------------- connected components
 
+#: Rows of a checkpointed table that one task is worth.
+TASK_ROWS = 100_000
+
+
+def parts_for(n: int) -> int:
+    return 1 + n // TASK_ROWS
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of narrow rows, read by as many tasks as its rows are worth, and their number."""
+    out = checkpoint(df)
+    n = out.count()
+    return out.coalesce(parts_for(n)), n
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node that links (a, b) reach; only nodes with links appear.
@@ -147,8 +161,8 @@ def components(links: DataFrame) -> DataFrame:
     pre-aggregated minimum and a join, and its result is checkpointed, so a hub's links
     are never gathered in one task and a lost executor repeats one step only.
     """
-    edges = checkpoint(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    edges, n = settled(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    parts, seen = parts_for(n), None
     while True:
         # Large star: every neighbour larger than u moves to the smallest node around u.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -158,7 +172,7 @@ def components(links: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if seen == tuple(now):
             break

@@ -6,9 +6,10 @@
    at any size.
 2. Each different text is sampled BANDS * ROWS times (Ioffe 2010); a band's samples make
    a key, and texts that share a key are candidates.
-3. Candidates are compared with the smallest text of their key, not with each other; what
-   is still apart inside a key after that is compared between the groups found so far.
-   Weighted Jaccard similarity of the texts' whole shingle sets decides.
+3. Candidates are compared with one text of their key, the most central one, not with each
+   other; where a key still holds several groups, its members meet another of its texts,
+   turn by turn, until a turn finds no link. A turn's work follows the number of keys, not
+   the square of a key's texts. Weighted Jaccard similarity of whole shingle sets decides.
 4. Links make groups by connected components; equal texts are one node from the start.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, components, digest, mix, shingles, text_groups, word_hashes
+from gridstone.llm.common import checkpoint, components, settled, digest, mix, shingles, text_groups, word_hashes
 
 U64 = np.uint64
 BUCKETS = 1 << 18
@@ -146,11 +147,15 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return counts, n_docs
 
 
-def keys_of(nodes: DataFrame, idf) -> DataFrame:
-    """(key, node) for each different text with a word, from rows (node, text); a text met again in a partition is skipped."""
+def keys_of(nodes: DataFrame, idf, common) -> DataFrame:
+    """(key, node, central) for each different text with a word, from rows (node, text); a text met again in a partition is skipped.
+
+    central: the mean of its shingles' log counts; of a large group of copies with changes,
+    the texts with the fewest changes have the largest.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, weights, done = Sampler(), idf.value, set()
+        sampler, weights, logs, done = Sampler(), idf.value, common.value, set()
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at, to, data, ends in text_groups(batch.column(1), 512 << 10):
@@ -159,23 +164,31 @@ def keys_of(nodes: DataFrame, idf) -> DataFrame:
                     fresh.append(names[i] not in done)
                     done.add(names[i])
                 words, sizes = word_hashes(data, ends)
-                parts, out = [], []
+                parts, out, central = [], [], []
                 for new, name, w in zip(fresh, names[at:to], np.split(words, np.cumsum(sizes)[:-1]), strict=True):
                     if new and len(w):
                         parts.append(weighted(w, weights))
                         out += [name] * BANDS
+                        central += [float(logs[bucket_of(parts[-1][0])].mean())] * BANDS
                 if parts:
                     starts = np.cumsum([0, *(len(x[0]) for x in parts[:-1])])
                     keys = band_keys(sampler(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), starts))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(out, pa.binary())], ["key", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(out, pa.binary()), pa.array(central, pa.float32())], ["key", "node", "central"])
             if len(done) > 1_000_000:
                 done.clear()
 
-    return nodes.select("node", "text").mapInArrow(sign, "key long, node binary")
+    return nodes.select("node", "text").mapInArrow(sign, "key long, node binary, central float")
+
 
+#: Pairs whose names are broadcast at most, so that other texts aren't shuffled; more pairs meet all texts by joins.
+MOST_NAMED = 100_000
 
-def verified(pairs: DataFrame, nodes: DataFrame, idf, least: float) -> DataFrame:
+
+def verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, idf, least: float) -> DataFrame:
     """Of pairs (a, b) those whose texts are similar enough. Texts of hot nodes meet their pairs by joins that AQE can split."""
+    if n_pairs <= MOST_NAMED:
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        nodes = nodes.join(F.broadcast(named), "node", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, kept = idf.value, OrderedDict()
@@ -199,6 +212,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, idf, least: float) -> DataFrame
     return both.mapInArrow(compare, "a binary, b binary")
 
 
+def _pair(x: str, y: str):
+    """p: the two nodes as (a, b), a > b."""
+    return F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).alias("p")
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> DataFrame:
     """(node, class_id) for every different text of docs: node is digest(text), class_id the smallest id of its group.
 
@@ -212,27 +230,32 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     rows = docs.select(F.col(id_column).alias("doc"), digest(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     counts, n_docs = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(idf_of(counts, n_docs))
+    common = spark.sparkContext.broadcast(np.log1p(counts).astype(np.float32))
     names = checkpoint(rows.groupBy("node").agg(F.min("doc").alias("doc")))
-    keys = checkpoint(keys_of(rows, idf).distinct())
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")).where("first != last")
-    many = checkpoint(keys.join(shared.select("key", "first", "n"), "key"))  # the keys that texts share
-    wanted = checkpoint(many.select("node").distinct())
-    # A different text's own copy: any row has it, so one is taken before the texts are shuffled.
-    texts = rows.join(wanted, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
-    texts = checkpoint(texts)
-    links = checkpoint(verified(many.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), texts, idf, least))
-    label = components(links)
-    # Inside a key, what the smallest text didn't bring together: pairs across the groups found so far.
-    open_keys = many.where("n > 2").join(label.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    apart = open_keys.where("node != first").groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
-    left = checkpoint(open_keys.where("node != first").join(apart, "key").select("key", "node", "label"))
-    other = left.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = left.withColumnsRenamed({"node": "a"}).join(other, "key").where("a > b and label != label_b").select("a", "b").distinct()
-    more = checkpoint(verified(rest, texts, idf, least))
-    if more.isEmpty():
-        whole = label
-    else:
-        whole = components(links.union(more))
+    keys = checkpoint(keys_of(rows, idf, common).distinct())
+    shared = keys.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
+    many, _ = settled(keys.select("key", "node").join(shared.select("key", F.col("top.node").alias("center")), "key"))  # the keys that texts share
+    # Any row has a text that equals another's, so one is taken before texts meet their pairs.
+    texts = checkpoint(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+    compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
+    links, _ = settled(verified(compared, n, texts, idf, least))
+    whole = components(links)
+    turn = 0
+    while True:
+        # Inside a key, what its center didn't bring together meets another member, until a turn finds no link.
+        turn += 1
+        now = many.select("key", "node").join(whole.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pick = F.max_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), F.col("node")))
+        open_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick")).where("low != high").select("key", "pick")
+        apart = now.join(open_keys, "key").where("label != pick.label").select(_pair("node", "pick.node")).select("p.*").distinct()
+        fresh, n = settled(apart.join(compared, ["a", "b"], "left_anti"))
+        if not n:
+            break
+        found, n_found = settled(verified(fresh, n, texts, idf, least))
+        if not n_found:
+            break
+        links, compared = links.union(found), compared.union(fresh)
+        whole = components(links)
     labelled = names.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc").alias("class_id"))
     return labelled.join(smallest, "label").select("node", "class_id", "label")
