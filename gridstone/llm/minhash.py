@@ -7,8 +7,9 @@
 2. Each different text is sampled BANDS * ROWS times (Ioffe 2010); a band's samples make
    a key, and texts that share a key are candidates.
 3. Candidates are compared with one text of their key, the most central one, not with each
-   other; where a key still holds several groups, its members meet another of its texts,
-   turn by turn, until a turn finds no link. A turn's work follows the number of keys, not
+   other; where a key still holds several groups, each member meets, of up to PICKS texts
+   of other groups, the one whose samples agree with most of its own, turn by turn with
+   other picks, until a turn finds no link. A turn's work follows the number of keys, not
    the square of a key's texts. Weighted Jaccard similarity of whole shingle sets decides.
 4. Links make groups by connected components; equal texts are one node from the start.
 """
@@ -33,6 +34,8 @@ SEGMENTS = 16
 #: Chance that two texts of similarity 0.8 share no key: (1 - 0.8 ** ROWS) ** BANDS = 0.0008.
 BANDS, ROWS = 10, 3
 SLOTS_LOG2 = 14
+#: Texts of a key that its members choose a partner from in a turn.
+PICKS = 64
 #: A shingle in at most this share of the documents has the full weight.
 RARE_SHARE = 2e-2
 #: The weight that a shingle of every document would come down to, next to 1 for a rare one.
@@ -148,8 +151,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def keys_of(nodes: DataFrame, idf, common) -> DataFrame:
-    """(key, node, central) for each different text with a word, from rows (node, text); a text met again in a partition is skipped.
+    """(key, node, marks, central) for each different text with a word, from rows (node, text); a text met again in a partition is skipped.
 
+    marks: a byte of each sample; the share that agrees estimates the similarity of two texts.
     central: the mean of its shingles' log counts; of a large group of copies with changes,
     the texts with the fewest changes have the largest.
     """
@@ -172,12 +176,13 @@ def keys_of(nodes: DataFrame, idf, common) -> DataFrame:
                         central += [float(logs[bucket_of(parts[-1][0])].mean())] * BANDS
                 if parts:
                     starts = np.cumsum([0, *(len(x[0]) for x in parts[:-1])])
-                    keys = band_keys(sampler(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), starts))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(out, pa.binary()), pa.array(central, pa.float32())], ["key", "node", "central"])
+                    samples = sampler(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]), starts)
+                    marks = [m for x in (samples >> U64(56)).astype(np.uint8) for m in [x.tobytes()] * BANDS]
+                    yield pa.RecordBatch.from_arrays([pa.array(band_keys(samples).ravel(), pa.int64()), pa.array(out, pa.binary()), pa.array(marks, pa.binary()), pa.array(central, pa.float32())], ["key", "node", "marks", "central"])
             if len(done) > 1_000_000:
                 done.clear()
 
-    return nodes.select("node", "text").mapInArrow(sign, "key long, node binary, central float")
+    return nodes.select("node", "text").mapInArrow(sign, "key long, node binary, marks binary, central float")
 
 
 #: Pairs whose names are broadcast at most, so that other texts aren't shuffled; more pairs meet all texts by joins.
@@ -217,6 +222,43 @@ def _pair(x: str, y: str):
     return F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).alias("p")
 
 
+def least_agreement(least: float) -> int:
+    """Samples that agree in all but about 1 of 10,000 pairs of this similarity."""
+    n = BANDS * ROWS
+    return max(1, int(n * least - 4 * (n * least * (1 - least)) ** 0.5))
+
+
+def chosen(many: DataFrame, state: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a turn, from rows (key, node, marks) and (node, label).
+
+    A key's picks come from an aggregate by slots, of which there are PICKS whatever the
+    key's size; slots follow the label or the node by turns, so that small groups are
+    picked too. Every member of a key with several labels chooses one pick at most.
+    """
+    now = many.join(state, "node")
+    slot = F.pmod(F.xxhash64("label" if turn % 2 else "node", F.lit(turn)), F.lit(PICKS))
+    pick = F.max_by(F.concat("node", "label", "marks"), F.struct(F.xxhash64("node", F.lit(-turn)), F.col("node")))
+    slots = now.groupBy("key", slot.alias("slot")).agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick"))
+    picks = slots.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.unhex(F.concat_ws("", F.sort_array(F.collect_list(F.hex("pick"))))).alias("picks")).where("low != high").select("key", "picks")
+    floor = least_agreement(least)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, label, marks, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                t = np.frombuffer(texts, np.uint8).reshape(-1, 32 + len(marks))
+                agree = (t[:, 32:] == np.frombuffer(marks, np.uint8)).sum(axis=1)
+                agree[(t[:, 16:32] == np.frombuffer(label, np.uint8)).all(axis=1)] = 0
+                k = int(agree.argmax())
+                if agree[k] >= floor:
+                    other = t[k, :16].tobytes()
+                    out.append((max(node, other), min(node, other)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+
+    met = now.join(picks, "key").select("node", "label", "marks", "picks")
+    return met.mapInArrow(choose, "a binary, b binary").distinct()
+
+
 def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> DataFrame:
     """(node, class_id) for every different text of docs: node is digest(text), class_id the smallest id of its group.
 
@@ -234,28 +276,28 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     names = checkpoint(rows.groupBy("node").agg(F.min("doc").alias("doc")))
     keys = checkpoint(keys_of(rows, idf, common).distinct())
     shared = keys.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
-    many, _ = settled(keys.select("key", "node").join(shared.select("key", F.col("top.node").alias("center")), "key"))  # the keys that texts share
+    many, _ = settled(keys.select("key", "node", "marks").join(shared.select("key", F.col("top.node").alias("center")), "key"))  # the keys that texts share
     # Any row has a text that equals another's, so one is taken before texts meet their pairs.
     texts = checkpoint(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
     compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
     links, _ = settled(verified(compared, n, texts, idf, least))
-    whole = components(links)
+    state = checkpoint(texts.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
     turn = 0
     while True:
-        # Inside a key, what its center didn't bring together meets another member, until a turn finds no link.
+        # Inside a key, what its center didn't bring together meets other members, until a turn finds no link.
         turn += 1
-        now = many.select("key", "node").join(whole.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pick = F.max_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), F.col("node")))
-        open_keys = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick")).where("low != high").select("key", "pick")
-        apart = now.join(open_keys, "key").where("label != pick.label").select(_pair("node", "pick.node")).select("p.*").distinct()
-        fresh, n = settled(apart.join(compared, ["a", "b"], "left_anti"))
+        fresh, n = settled(chosen(many.select("key", "node", "marks"), state, turn, least).join(compared, ["a", "b"], "left_anti"))
         if not n:
             break
         found, n_found = settled(verified(fresh, n, texts, idf, least))
         if not n_found:
             break
-        links, compared = links.union(found), compared.union(fresh)
-        whole = components(links)
+        compared = compared.union(fresh)
+        # Only the groups that the new links touch are joined.
+        ends = found.join(state.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(state.withColumnsRenamed({"node": "b", "label": "v"}), "b")
+        merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
+        state = checkpoint(state.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+    whole = state.withColumnRenamed("label", "component")
     labelled = names.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc").alias("class_id"))
     return labelled.join(smallest, "label").select("node", "class_id", "label")
