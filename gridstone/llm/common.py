@@ -159,20 +159,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star until the links stand still; every step is a
     pre-aggregated minimum and a join, and its result is checkpointed, so a hub's links
-    are never gathered in one task and a lost executor repeats one step only.
+    are never gathered in one task and a lost executor repeats one step only. Links that
+    one task is worth (TASK_ROWS at most) stay in it, so that small steps shuffle nothing.
     """
     edges, n = settled(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     parts, seen = parts_for(n), None
     while True:
         # Large star: every neighbour larger than u moves to the smallest node around u.
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * parts if parts > 1 else 1)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours move to the smallest of them.
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
+        stars = small.union(least.select("u", F.col("m").alias("v")))
+        edges = checkpoint((stars.coalesce(1) if parts == 1 else stars).distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if seen == tuple(now):
             break
