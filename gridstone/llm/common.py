@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 U64 = np.uint64
 
@@ -114,8 +117,6 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
 
 def texts_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of an Arrow string array, where each text begins in them and where it ends (null: empty)."""
-    import pyarrow as pa
-
     if pa.types.is_large_string(column.type):
         kind = np.int64
     else:
@@ -148,25 +149,56 @@ def parts_for(n: int) -> int:
 
 
 def settled(df: DataFrame) -> tuple[DataFrame, int]:
-    """A checkpoint of narrow rows, read by as many tasks as its rows are worth, and their number."""
-    out = checkpoint(df)
+    """A written table of narrow rows in the shared folder, read by as many tasks as its rows are worth, and their number.
+
+    Unlike a checkpoint it is computed once and keeps no constraints of its plan, which
+    would double with every turn of a loop.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
     n = out.count()
     return out.coalesce(parts_for(n)), n
 
 
+def _united(edges: DataFrame) -> DataFrame:
+    """components() of links (u, v) that are worth one task: a union-find inside it, TASK_ROWS links at most."""
+    kind = edges.schema["u"].dataType
+    arrow = to_arrow_type(kind)
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = find(root.setdefault(u, u)), find(root.setdefault(v, v))
+                root[max(x, y)] = min(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), arrow), pa.array([find(x) for x in root], arrow)], ["node", "component"])
+
+    return checkpoint(edges.select("u", "v").coalesce(1).mapInArrow(unite, f"node {kind.simpleString()}, component {kind.simpleString()}"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node that links (a, b) reach; only nodes with links appear.
 
-    Alternates large-star and small-star until the links stand still; every step is a
+    Links that one task is worth (TASK_ROWS at most) are united in it. More of them
+    alternate large-star and small-star until they stand still; every step is a
     pre-aggregated minimum and a join, and its result is checkpointed, so a hub's links
-    are never gathered in one task and a lost executor repeats one step only. Links that
-    one task is worth (TASK_ROWS at most) stay in it, so that small steps shuffle nothing.
+    are never gathered in one task and a lost executor repeats one step only.
     """
     edges, n = settled(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if n <= TASK_ROWS:
+        return _united(edges)
     parts, seen = parts_for(n), None
     while True:
         # Large star: every neighbour larger than u moves to the smallest node around u.
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * parts if parts > 1 else 1)
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours move to the smallest of them.
@@ -174,7 +206,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = small.union(least.select("u", F.col("m").alias("v")))
-        edges = checkpoint((stars.coalesce(1) if parts == 1 else stars).distinct().coalesce(parts))
+        edges = checkpoint(stars.distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if seen == tuple(now):
             break

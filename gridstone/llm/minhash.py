@@ -9,7 +9,7 @@
 3. Candidates are compared with one text of their key, the most central one, not with each
    other; where a key still holds several groups, each member meets, of up to PICKS texts
    of other groups, the one whose samples agree with most of its own, turn by turn with
-   other picks, until a turn finds no link. A turn's work follows the number of keys, not
+   other picks, until two turns find no link. A turn's work follows the number of keys, not
    the square of a key's texts. Weighted Jaccard similarity of whole shingle sets decides.
 4. Links make groups by connected components; equal texts are one node from the start.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, components, settled, digest, mix, shingles, text_groups, word_hashes
+from gridstone.llm.common import checkpoint, components, digest, mix, parts_for, settled, shingles, text_groups, word_hashes
 
 U64 = np.uint64
 BUCKETS = 1 << 18
@@ -211,7 +211,7 @@ def verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, idf, least: float
             out = [(a, b) for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similarity(parsed(b, t), parsed(a, s)) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
-    text = nodes.select("node", F.col("text").cast("binary").alias("text"))
+    text = nodes.select("node", F.col("text").cast("binary").alias("text")).hint("merge")
     one = pairs.join(text.withColumnsRenamed({"node": "a", "text": "s"}), "a")
     both = one.join(text.withColumnsRenamed({"node": "b", "text": "t"}), "b").select("a", "b", "s", "t")
     return both.mapInArrow(compare, "a binary, b binary")
@@ -228,34 +228,49 @@ def least_agreement(least: float) -> int:
     return max(1, int(n * least - 4 * (n * least * (1 - least)) ** 0.5))
 
 
-def chosen(many: DataFrame, state: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs (a, b) of a turn, from rows (key, node, marks) and (node, label).
+def chosen(members: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a turn, from rows (key, node, marks, label).
 
     A key's picks come from an aggregate by slots, of which there are PICKS whatever the
     key's size; slots follow the label or the node by turns, so that small groups are
-    picked too. Every member of a key with several labels chooses one pick at most.
+    picked too. Every member of a key with several labels chooses one pick at most. From
+    the second turn on a key's texts are told apart by two more marks, others every turn,
+    so that similar texts meet in keys of any size; every third turn a text chooses only
+    of those whose names differ from its own in a bit of the turn, or agree in it, so
+    that the next best is chosen too where the best was no link.
     """
-    now = many.join(state, "node")
+    if turn > 1:
+        extra = [F.substring("marks", (2 * turn + k) % (BANDS * ROWS) + 1, 1) for k in (0, 1)]
+        members = members.withColumn("key", F.xxhash64("key", *extra))
     slot = F.pmod(F.xxhash64("label" if turn % 2 else "node", F.lit(turn)), F.lit(PICKS))
     pick = F.max_by(F.concat("node", "label", "marks"), F.struct(F.xxhash64("node", F.lit(-turn)), F.col("node")))
-    slots = now.groupBy("key", slot.alias("slot")).agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick"))
+    slots = members.groupBy("key", slot.alias("slot")).agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick"))
     picks = slots.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.unhex(F.concat_ws("", F.sort_array(F.collect_list(F.hex("pick"))))).alias("picks")).where("low != high").select("key", "picks")
     floor = least_agreement(least)
+    byte, bit, side = (turn // 6) % 16, (turn // 96) % 8, turn % 2
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        said: set[tuple[bytes, bytes]] = set()  # several keys can choose the same pair
         for batch in batches:
             out = []
             for node, label, marks, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 t = np.frombuffer(texts, np.uint8).reshape(-1, 32 + len(marks))
                 agree = (t[:, 32:] == np.frombuffer(marks, np.uint8)).sum(axis=1)
                 agree[(t[:, 16:32] == np.frombuffer(label, np.uint8)).all(axis=1)] = 0
+                if turn % 3 == 0:
+                    agree[((t[:, byte] ^ node[byte]) >> bit) & 1 != side] = 0
                 k = int(agree.argmax())
                 if agree[k] >= floor:
                     other = t[k, :16].tobytes()
-                    out.append((max(node, other), min(node, other)))
+                    pair = (max(node, other), min(node, other))
+                    if pair not in said:
+                        said.add(pair)
+                        out.append(pair)
+            if len(said) > 1_000_000:
+                said.clear()
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
-    met = now.join(picks, "key").select("node", "label", "marks", "picks")
+    met = members.join(picks, "key").select("node", "label", "marks", "picks")
     return met.mapInArrow(choose, "a binary, b binary").distinct()
 
 
@@ -281,22 +296,23 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     texts = checkpoint(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
     compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
     links, _ = settled(verified(compared, n, texts, idf, least))
-    state = checkpoint(texts.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-    turn = 0
-    while True:
-        # Inside a key, what its center didn't bring together meets other members, until a turn finds no link.
+    members, _ = settled(many.select("key", "node", "marks").join(components(links), "node", "left").select("key", "node", "marks", F.coalesce("component", "node").alias("label")))
+    turn = empty = 0
+    while empty < 2:
+        # Inside a key, what its center didn't bring together meets other members, until two turns find no link.
         turn += 1
-        fresh, n = settled(chosen(many.select("key", "node", "marks"), state, turn, least).join(compared, ["a", "b"], "left_anti"))
-        if not n:
-            break
-        found, n_found = settled(verified(fresh, n, texts, idf, least))
-        if not n_found:
-            break
-        compared = compared.union(fresh)
-        # Only the groups that the new links touch are joined.
-        ends = found.join(state.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(state.withColumnsRenamed({"node": "b", "label": "v"}), "b")
-        merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
-        state = checkpoint(state.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
+        fresh, n_fresh = settled(chosen(members, turn, least).join(compared, ["a", "b"], "left_anti"))
+        if n_fresh:
+            found, n_found = settled(verified(fresh, n_fresh, texts, idf, least))
+            n += n_fresh
+            compared = compared.union(fresh).coalesce(parts_for(n))
+        empty = 0 if n_fresh and n_found else empty + 1
+        if not empty:
+            label_of = members.select("node", "label").distinct()
+            ends = found.join(label_of.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label_of.withColumnsRenamed({"node": "b", "label": "v"}), "b")
+            merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
+            members, _ = settled(members.join(merged, "label", "left").select("key", "node", "marks", F.coalesce("component", "label").alias("label")))
+    state = members.select("node", "label").distinct()
     whole = state.withColumnRenamed("label", "component")
     labelled = names.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc").alias("class_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridstone.llm import embedding_dedup, line_dedup, minhash, packing, quality_rules, sentencepiece_fst, sharding, token_counts, url_filter, warc
+from gridstone.llm import common, embedding_dedup, line_dedup, minhash, packing, quality_rules, sentencepiece_fst, sharding, token_counts, url_filter, warc
 
 P = pytest.importorskip("public_tokenizers")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -242,6 +242,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, folder + "-empty").count() == 0
 
 
+@pytest.mark.parametrize("task_rows", [100_000, 100])
+def test_components_equal_union_find(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(common, "TASK_ROWS", task_rows)
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))]
+    root = {k: k for p in pairs for k in p}
+    for _ in range(400):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = common.components(spark.createDataFrame([*pairs, (5, 5), (None, 1)], "a long, b long"))
+    linked = {k for a, b in pairs if a != b for k in (a, b)}
+    assert {r.node: r.component for r in got.collect()} == {k: root[k] for k in linked} and got.count() == len(linked)
+    assert common.components(got.limit(0).toDF("a", "b")).count() == 0
+
+
 def test_embedding_components_equal_brute_force(spark):
     rng = np.random.default_rng(6)
     base = rng.standard_normal((40, 16))
