@@ -9,7 +9,7 @@
 3. Candidates are compared with one text of their key, the most central one, not with each
    other; where a key still holds several groups, each member meets, of up to PICKS texts
    of other groups, the one whose samples agree with most of its own, turn by turn with
-   other picks, until two turns find no link. A turn's work follows the number of keys, not
+   other picks and by narrower keys, until a round of turns finds no link. A turn's work follows the number of keys, not
    the square of a key's texts. Weighted Jaccard similarity of whole shingle sets decides.
 4. Links make groups by connected components; equal texts are one node from the start.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ BANDS, ROWS = 10, 3
 SLOTS_LOG2 = 14
 #: Texts of a key that its members choose a partner from in a turn.
 PICKS = 64
+#: Turns that are chosen and compared together.
+ROUND = 5
 #: A shingle in at most this share of the documents has the full weight.
 RARE_SHARE = 2e-2
 #: The weight that a shingle of every document would come down to, next to 1 for a rare one.
@@ -297,17 +300,18 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
     links, _ = settled(verified(compared, n, texts, idf, least))
     members, _ = settled(many.select("key", "node", "marks").join(components(links), "node", "left").select("key", "node", "marks", F.coalesce("component", "node").alias("label")))
-    turn = empty = 0
-    while empty < 2:
-        # Inside a key, what its center didn't bring together meets other members, until two turns find no link.
-        turn += 1
-        fresh, n_fresh = settled(chosen(members, turn, least).join(compared, ["a", "b"], "left_anti"))
-        if n_fresh:
-            found, n_found = settled(verified(fresh, n_fresh, texts, idf, least))
-            n += n_fresh
+    turn = n_found = 0
+    while turn <= ROUND or n_found:
+        # Inside a key, what its center didn't bring together meets other members: one turn by whole keys, then rounds of turns until one finds no link.
+        turns = range(turn + 1, turn + 1 + (ROUND if turn else 1))
+        turn = turns[-1]
+        picked = reduce(DataFrame.union, [chosen(members, t, least) for t in turns]).distinct()
+        fresh, n_found = settled(picked.join(compared, ["a", "b"], "left_anti"))
+        if n_found:
+            n += n_found
             compared = compared.union(fresh).coalesce(parts_for(n))
-        empty = 0 if n_fresh and n_found else empty + 1
-        if not empty:
+            found, n_found = settled(verified(fresh, n_found, texts, idf, least))
+        if n_found:
             label_of = members.select("node", "label").distinct()
             ends = found.join(label_of.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label_of.withColumnsRenamed({"node": "b", "label": "v"}), "b")
             merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
