@@ -6,11 +6,11 @@
    at any size.
 2. Each different text is sampled BANDS * ROWS times (Ioffe 2010); a band's samples make
    a key, and texts that share a key are candidates.
-3. Candidates are compared with one text of their key, the most central one, not with each
-   other; where a key still holds several groups, each member meets, of up to PICKS texts
-   of other groups, the one whose samples agree with most of its own, turn by turn with
-   other picks and by narrower keys, until a round of turns finds no link. A turn's work follows the number of keys, not
-   the square of a key's texts. Weighted Jaccard similarity of whole shingle sets decides.
+3. Candidates are compared with one text of their key, the most central one, which brings
+   together most of a large group. All other pairs of a key whose texts are still apart
+   and whose samples agree in least_agreement() or more are then compared, by blocks of
+   bounded size; only pairs that links found in the same block connect are passed over.
+   Weighted Jaccard similarity of whole shingle sets decides.
 4. Links make groups by connected components; equal texts are one node from the start.
 """
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +34,8 @@ SEGMENTS = 16
 #: Chance that two texts of similarity 0.8 share no key: (1 - 0.8 ** ROWS) ** BANDS = 0.0008.
 BANDS, ROWS = 10, 3
 SLOTS_LOG2 = 14
-#: Texts of a key that its members choose a partner from in a turn.
-PICKS = 64
-#: Turns that are chosen and compared together.
-ROUND = 5
+#: Texts, and bytes of them, that a block of a key's members holds on average at most; all pairs of blocks meet.
+BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 #: A shingle in at most this share of the documents has the full weight.
 RARE_SHARE = 2e-2
 #: The weight that a shingle of every document would come down to, next to 1 for a rare one.
@@ -231,50 +228,94 @@ def least_agreement(least: float) -> int:
     return max(1, int(n * least - 4 * (n * least * (1 - least)) ** 0.5))
 
 
-def chosen(members: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs (a, b) of a turn, from rows (key, node, marks, label).
+def _links_in(block: list[tuple], weights: np.ndarray, least: float) -> list[tuple[bytes, bytes]]:
+    """Links (a, b), a > b, of a pair of blocks: rows (i, j, side, node, label, marks, lower, text); if i < j, only rows of different sides meet.
 
-    A key's picks come from an aggregate by slots, of which there are PICKS whatever the
-    key's size; slots follow the label or the node by turns, so that small groups are
-    picked too. Every member of a key with several labels chooses one pick at most. From
-    the second turn on a key's texts are told apart by two more marks, others every turn,
-    so that similar texts meet in keys of any size; every third turn a text chooses only
-    of those whose names differ from its own in a bit of the turn, or agree in it, so
-    that the next best is chosen too where the best was no link.
+    lower: the text's smaller keys; a pair that shares one of them is compared there. Links
+    and labels connect the same texts as the links of all pairs would.
     """
-    if turn > 1:
-        extra = [F.substring("marks", (2 * turn + k) % (BANDS * ROWS) + 1, 1) for k in (0, 1)]
-        members = members.withColumn("key", F.xxhash64("key", *extra))
-    slot = F.pmod(F.xxhash64("label" if turn % 2 else "node", F.lit(turn)), F.lit(PICKS))
-    pick = F.max_by(F.concat("node", "label", "marks"), F.struct(F.xxhash64("node", F.lit(-turn)), F.col("node")))
-    slots = members.groupBy("key", slot.alias("slot")).agg(F.min("label").alias("low"), F.max("label").alias("high"), pick.alias("pick"))
-    picks = slots.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.unhex(F.concat_ws("", F.sort_array(F.collect_list(F.hex("pick"))))).alias("picks")).where("low != high").select("key", "picks")
-    floor = least_agreement(least)
-    byte, bit, side = (turn // 6) % 16, (turn // 96) % 8, turn % 2
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        said: set[tuple[bytes, bytes]] = set()  # several keys can choose the same pair
+    n, floor = len(block), least_agreement(least)
+    across = block[0][0] != block[0][1]
+    side = np.array([r[2] for r in block])
+    marks = np.frombuffer(b"".join(r[5] for r in block), np.uint8).reshape(n, -1)
+    number = {x: k for k, x in enumerate(dict.fromkeys(r[4] for r in block))}
+    label = np.array([number[r[4]] for r in block])  # of the label itself, then of what links unite
+    lower = np.zeros((n, BANDS), np.int64)
+    for k, r in enumerate(block):
+        lower[k, : len(r[6])] = r[6]
+    begun = []
+    for k in range(n - 1):
+        ok = ((marks[k + 1 :] == marks[k]).sum(axis=1) >= floor) & (label[k + 1 :] != label[k])
+        if across:
+            ok &= side[k + 1 :] != side[k]
+        to = np.flatnonzero(ok) + k + 1
+        if len(to) and block[k][6]:
+            to = to[~(lower[to][:, :, None] == np.array(block[k][6], np.int64)).any(axis=(1, 2))]
+        if len(to):
+            begun.append((k, to))
+    if not begun:
+        return []
+    used = np.unique(np.concatenate([np.append(to, k) for k, to in begun]))
+    sets = {}
+    for k in used.tolist():
+        data = np.frombuffer(block[k][7], np.uint8)
+        sets[k] = weighted(word_hashes(data, np.array([len(data)]))[0], weights)
+    total = {k: x[1].sum() for k, x in sets.items()}
+    names, places = np.unique(np.concatenate([x[0] for x in sets.values()]), return_inverse=True)
+    place = dict(zip(sets, np.split(places, np.cumsum([len(x[0]) for x in sets.values()])[:-1]), strict=True))
+    dense, out = np.zeros(len(names)), []
+    for k, to in begun:
+        to = to[label[to] != label[k]]
+        if not len(to):
+            continue
+        dense[place[k]] = sets[k][1]
+        sizes = [len(place[t]) for t in to.tolist()]
+        shared = np.minimum(dense[np.concatenate([place[t] for t in to.tolist()])], np.concatenate([sets[t][1] for t in to.tolist()]))
+        dense[place[k]] = 0
+        low = np.add.reduceat(shared, np.cumsum([0, *sizes[:-1]]))
+        ratio = low / (np.array([total[t] for t in to.tolist()]) + total[k] - low)
+        for t, x in zip(to.tolist(), ratio.tolist(), strict=True):
+            if x >= least + 1e-9 or x > least - 1e-9 and similarity(sets[k], sets[t]) >= least:
+                out.append((max(block[k][3], block[t][3]), min(block[k][3], block[t][3])))
+                label[label == label[t]] = label[k]
+    return out
+
+
+def remaining(members: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """Links (a, b) between texts of different labels that share a key and whose samples agree enough, from rows (key, node, marks, center, label).
+
+    Pairs with a key's center have been compared. A key's other members are dealt to blocks
+    by hashes of their names, and each pair of blocks is a group of rows: a task holds the
+    texts of two blocks, whatever the key's size.
+    """
+    rest = members.where("node != center").join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    apart = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("low != high")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    met = rest.select("key", "node", "marks", "label").join(apart.select("key", blocks.alias("blocks")), "key")
+    keys = members.groupBy("node").agg(F.collect_set("key").alias("keys"))
+    side = F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int")
+    dealt = met.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "label", "marks")
+    dealt = dealt.join(keys, "node").join(texts.select("node", F.col("text").cast("binary").alias("text")), "node")
+    rows = dealt.select("key", "i", "j", "side", "node", "label", "marks", F.filter("keys", lambda k: k < F.col("key")).alias("lower"), "text")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, block, at = idf.value, [], None
+
+        def batch_of(links: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
+
         for batch in batches:
-            out = []
-            for node, label, marks, texts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = np.frombuffer(texts, np.uint8).reshape(-1, 32 + len(marks))
-                agree = (t[:, 32:] == np.frombuffer(marks, np.uint8)).sum(axis=1)
-                agree[(t[:, 16:32] == np.frombuffer(label, np.uint8)).all(axis=1)] = 0
-                if turn % 3 == 0:
-                    agree[((t[:, byte] ^ node[byte]) >> bit) & 1 != side] = 0
-                k = int(agree.argmax())
-                if agree[k] >= floor:
-                    other = t[k, :16].tobytes()
-                    pair = (max(node, other), min(node, other))
-                    if pair not in said:
-                        said.add(pair)
-                        out.append(pair)
-            if len(said) > 1_000_000:
-                said.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, row[0], row[1]) != at:
+                    if block:
+                        yield batch_of(_links_in(block, weights, least))
+                    block, at = [], (key, row[0], row[1])
+                block.append(tuple(row))
+        if block:
+            yield batch_of(_links_in(block, weights, least))
 
-    met = members.join(picks, "key").select("node", "label", "marks", "picks")
-    return met.mapInArrow(choose, "a binary, b binary").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> DataFrame:
@@ -299,23 +340,14 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     texts = checkpoint(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
     compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
     links, _ = settled(verified(compared, n, texts, idf, least))
-    members, _ = settled(many.select("key", "node", "marks").join(components(links), "node", "left").select("key", "node", "marks", F.coalesce("component", "node").alias("label")))
-    turn = n_found = 0
-    while turn <= ROUND or n_found:
-        # Inside a key, what its center didn't bring together meets other members: one turn by whole keys, then rounds of turns until one finds no link.
-        turns = range(turn + 1, turn + 1 + (ROUND if turn else 1))
-        turn = turns[-1]
-        picked = reduce(DataFrame.union, [chosen(members, t, least) for t in turns]).distinct()
-        fresh, n_found = settled(picked.join(compared, ["a", "b"], "left_anti"))
-        if n_found:
-            n += n_found
-            compared = compared.union(fresh).coalesce(parts_for(n))
-            found, n_found = settled(verified(fresh, n_found, texts, idf, least))
-        if n_found:
-            label_of = members.select("node", "label").distinct()
-            ends = found.join(label_of.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label_of.withColumnsRenamed({"node": "b", "label": "v"}), "b")
-            merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
-            members, _ = settled(members.join(merged, "label", "left").select("key", "node", "marks", F.coalesce("component", "label").alias("label")))
+    members, _ = settled(many.join(components(links), "node", "left").select("key", "node", "marks", "center", F.coalesce("component", "node").alias("label")))
+    # Inside a key, what its center didn't bring together: all other pairs that can be links.
+    found, n_found = settled(remaining(members, texts, idf, least))
+    if n_found:
+        label_of = members.select("node", "label").distinct()
+        ends = found.join(label_of.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label_of.withColumnsRenamed({"node": "b", "label": "v"}), "b")
+        merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
+        members, _ = settled(members.join(merged, "label", "left").select("key", "node", F.coalesce("component", "label").alias("label")))
     state = members.select("node", "label").distinct()
     whole = state.withColumnRenamed("label", "component")
     labelled = names.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))

@@ -115,6 +115,37 @@ def test_minhash_finds_pairs_of_brute_force(spark):
             assert a // 4 == b // 4 or cls[a] != cls[b]
 
 
+@pytest.mark.parametrize("block_texts", [512, 16])
+def test_minhash_loses_no_link_of_a_key(spark, monkeypatch, block_texts):
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", block_texts, raising=False)
+    rng, rows = np.random.default_rng(8), []
+    for g in range(4):
+        base = words(900 + g, 120).split()
+        for c in range(150):
+            copy = list(base)
+            for k in rng.choice(120, rng.integers(2, 5), replace=False):
+                copy[k] = f"new{g}-{c}-{k}"
+            rows.append((len(rows), " ".join(copy), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOC)
+    counts, n = minhash.document_frequencies(docs)
+    idf = minhash.idf_of(counts, n)
+    sets = []
+    for r in rows:
+        data = np.frombuffer(r[1].encode(), np.uint8)
+        sets.append(minhash.weighted(common.word_hashes(data, np.array([len(data)]))[0], idf))
+    starts = np.cumsum([0, *(len(x[0]) for x in sets[:-1])])
+    samples = minhash.Sampler()(np.concatenate([x[0] for x in sets]), np.concatenate([x[1] for x in sets]), starts)
+    keys, marks = minhash.band_keys(samples), (samples >> np.uint64(56)).astype(np.uint8)
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in np.flatnonzero((keys[:a] == keys[a]).any(axis=1) & ((marks[:a] == marks[a]).sum(axis=1) >= minhash.least_agreement(0.8))):
+            if want[a] != want[b] and minhash.similarity(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    assert 4 < len(set(want)) < len(rows) - 40 and [got[k] for k in range(len(rows))] == want
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(3)
     h = np.sort(rng.integers(0, 2**63, 600, dtype=np.uint64))
