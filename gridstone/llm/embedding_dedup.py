@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors: all pairs, by products of blocks."""
 
 from __future__ import annotations
 
@@ -7,16 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, components
+from gridstone.llm.common import checkpoint, components, settled
 
-#: Passes, and how many following neighbours each vector is compared with in a pass.
-PASSES, WINDOW = 16, 16
-#: Random hashes that make a pass's sort key, one bit each.
-BITS = 48
+#: Vectors, and bytes of them, that a block holds on average at most; all pairs of blocks of a dimension meet.
+BLOCK_ROWS, BLOCK_BYTES = 8192, 32 << 20
+#: Rows of a block that are multiplied at once.
+STRIP = 512
 
 
 def _nodes(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -46,101 +45,88 @@ def unit(rows: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _keyed(nodes: DataFrame, passes: int, seed: int) -> DataFrame:
-    """(turn, key, node, data): a row for each pass; the key's bits are signs of random projections, its first digits the dimension."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        power = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
-        for batch in batches:
-            names, data = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            by: dict[int, list[int]] = {}
-            for k, d in enumerate(data):
-                by.setdefault(len(d) // 8, []).append(k)
-            for dim, places in by.items():
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, passes * BITS))
-                for at in range(0, len(places), 2000):
-                    some = places[at : at + 2000]
-                    signs = unit([data[k] for k in some]) @ planes[dim] > 0
-                    keys = signs.reshape(len(some), passes, BITS) @ power
-                    for turn in range(passes):
-                        n = len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array([turn] * n, pa.int32()), pa.array([dim] * n, pa.int32()), pa.array(keys[:, turn], pa.int64()), pa.array([names[k] for k in some], pa.binary()), pa.array([data[k] for k in some], pa.binary())], ["turn", "dim", "key", "node", "data"])
-
-    return nodes.select("node", "data").mapInArrow(work, "turn int, dim int, key long, node binary, data binary")
-
-
-_PAIRS = "kind int, a binary, b binary, turn int, dim int, key long, data binary, part int"
+def _linked(rows: list[tuple], least: float) -> list[tuple[bytes, bytes, int]]:
+    """(node, root, others) of the vectors with links, from rows (side, node, copies, data) of one block or of two sides.
 
+    others: the copies of all vectors linked within the pair of blocks; root: a node that
+    stands for those that links connect here. Products in single precision decide only
+    where their largest possible error cannot; the rest is decided in double precision.
+    """
+    rows = sorted(rows, key=lambda r: r[0])
+    n, cut = len(rows), sum(r[0] == rows[0][0] for r in rows)
+    one = cut == n
+    x = unit([r[3] for r in rows])
+    single, margin = x.astype(np.float32), x.shape[1] * 1.2e-7 + 1e-6
+    copies = np.array([r[2] for r in rows], np.float64)
+    first = 0 if one else cut
+    others, label = np.zeros(n), np.arange(n)
+    for at in range(0, cut, STRIP):
+        to = min(at + STRIP, cut)
+        cosine = single[at:to] @ single[first:].T
+        u, v = np.nonzero(cosine >= least - margin)
+        near = cosine[u, v] < least + margin
+        u, v = u + at, v + first
+        ok = u != v
+        doubt = np.flatnonzero(near & ok)
+        for k in range(0, len(doubt), 100_000):
+            some = doubt[k : k + 100_000]
+            ok[some] = np.einsum("ij,ij->i", x[u[some]], x[v[some]]) >= least
+        u, v = u[ok], v[ok]
+        if not len(u):
+            continue
+        others += np.bincount(u, copies[v], n)
+        if not one:
+            others += np.bincount(v, copies[u], n)
+        starts = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
+        for k, end in zip(starts, [*starts[1:], len(u)], strict=True):
+            met = label[v[k:end]]
+            if (met != label[u[k]]).any():
+                same = np.zeros(n, bool)
+                same[met] = same[label[u[k]]] = True
+                label[same[label]] = min(met.min(), label[u[k]])
+    return [(rows[k][1], rows[label[k]][1], int(others[k])) for k in np.flatnonzero(others)]
+
+
+def links(nodes: DataFrame, least: float = 0.95) -> DataFrame:
+    """(a, b, others) from different vectors (node, copies, data): every pair of a dimension is compared, in one pair of blocks.
+
+    others: the copies of the vectors that a links with there, to be summed over rows; the
+    pairs (a, b) connect the vectors that links connect. A row for each vector and pair of
+    blocks in which it has a link, so that rows follow the blocks, not the pairs of a group.
+    """
+    sized = nodes.withColumn("dim", (F.octet_length("data") / 8).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("n") * F.col("dim") * 8 / BLOCK_BYTES)).cast("int")
+    sized = sized.join(F.broadcast(sized.groupBy("dim").agg(F.count("*").alias("n")).select("dim", blocks.alias("blocks"))), "dim")
+    sized = sized.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("dim", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "copies", "data")
 
-def _slide(window: int, least: float, edges: bool):
-    """Compare each row with the window rows before it, over rows sorted by (turn, dim, key, node).
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, at = [], None
 
-    edges: rows of a partition come whole, and its first and last window rows of a pass go
-    out once more for the borders between partitions. Else the rows are such border rows,
-    and only rows of different partitions are compared.
-    """
+        def batch_of() -> pa.RecordBatch:
+            # Of two blocks, one can be empty: its own pairs are compared in the group of it alone.
+            out = _linked(rows, least) if at[1] == at[2] or len({r[0] for r in rows}) == 2 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], ["a", "b", "others"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        group, kept, count = None, [], 0  # the rows of the pass that are still within reach: node, unit vector, key, data, part
+        for batch in batches:
+            for dim, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (dim, i, j) != at:
+                    if rows:
+                        yield batch_of()
+                    rows, at = [], (dim, i, j)
+                rows.append(tuple(row))
+        if rows:
+            yield batch_of()
 
-        def batch_of(pairs: list, border: list) -> pa.RecordBatch:
-            n, m = len(pairs), len(border)
-            columns = [[0] * n + [1] * m, [p[0] for p in pairs] + [b[0] for b in border], [p[1] for p in pairs] + [None] * m, [None] * n + [b[3] for b in border], [None] * n + [b[4] for b in border], [None] * n + [b[1] for b in border], [None] * n + [b[2] for b in border], [part] * (n + m)]
-            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int32()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "a", "b", "turn", "dim", "key", "data", "part"])
+    return dealt.repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j").mapInArrow(compare, "a binary, b binary, others long")
 
-        def tail() -> list:
-            # The first window rows of the pass went out when they were met.
-            return [(k[0], k[2], k[3], *group) for k in kept[-window:] if k[5] >= window] if edges and group else []
 
-        for batch in batches:
-            turn, dim, key, node, data, parts = (c.to_pylist() for c in batch.columns)
-            at = 0
-            while at < len(node):
-                if (turn[at], dim[at]) != group:
-                    if border := tail():
-                        yield batch_of([], border)
-                    group, kept, count = (turn[at], dim[at]), [], 0
-                to = at
-                while to < len(node) and (turn[to], dim[to]) == group and to < at + 2000:
-                    to += 1
-                fresh = [(node[k], v, key[k], data[k], parts[k], count + k - at) for k, v in zip(range(at, to), unit(data[at:to]), strict=True)]
-                rows = kept + fresh
-                vectors, pairs = np.array([r[1] for r in rows]), set()
-                for step in range(1, min(window, len(rows) - 1) + 1):
-                    cosine = np.einsum("ij,ij->i", vectors[:-step], vectors[step:])
-                    for k in np.flatnonzero(cosine >= least):
-                        x, y = rows[k], rows[k + step]
-                        if k + step >= len(kept) and x[0] != y[0] and (edges or x[4] != y[4]):
-                            pairs.add((min(x[0], y[0]), max(x[0], y[0])))
-                border = [(r[0], r[2], r[3], *group) for r in fresh if r[5] < window] if edges else []
-                yield batch_of(sorted(pairs), border)
-                kept, count, at = rows[-window:], count + to - at, to
-        if border := tail():
-            yield batch_of([], border)
-
-    return work
-
-
-def links(nodes: DataFrame, least: float = 0.95, passes: int = PASSES, window: int = WINDOW, seed: int = 11) -> DataFrame:
-    """(a, b), a < b: pairs of different vectors that some pass puts within a window and whose cosine is at least least."""
-    keyed = checkpoint(_keyed(nodes, passes, seed))
-    order = ["turn", "dim", "key", "node"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.lit(0)).select("turn", "dim", "key", "node", "data", "part")
-    first = checkpoint(ranged.mapInArrow(_slide(window, least, True), _PAIRS))
-    border = first.where("kind = 1").select("turn", "dim", "key", F.col("a").alias("node"), "data", "part")
-    across = border.repartition(passes, "turn").sortWithinPartitions(*order).mapInArrow(_slide(window, least, False), _PAIRS)
-    return first.where("kind = 0").select("a", "b").union(across.where("kind = 0").select("a", "b")).distinct()
-
-
-def dedup(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", least: float = 0.95, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def dedup(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", least: float = 0.95) -> DataFrame:
     """One row for each of vectors: id, n_links, component_id, kept.
 
-    Two rows link if their cosine in double precision is at least least and they hold
-    equal values, or some pass sorts them within window different vectors of each other.
+    Two rows link if they hold equal values or their cosine in double precision is at least
+    least; all pairs are compared, so the work grows with the square of the vectors.
     n_links counts other rows linked directly; component_id is the smallest id reachable;
     kept: the id is component_id. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, not even equal ones, and are their own
@@ -152,10 +138,9 @@ def dedup(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddin
     valid = rows.where("node is not null")
     nodes = valid.groupBy("node").agg(F.min("vec").alias("vec"), F.count("*").alias("copies"), F.first("data").alias("data"))
     nodes = checkpoint(nodes)
-    found = checkpoint(links(nodes, least, passes, window))
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    label = components(found)
+    found, _ = settled(links(nodes, least))
+    degree = found.groupBy("a").agg(F.sum("others").alias("others"))
+    label = components(found.select("a", "b"))
     known = nodes.select("node", "vec", "copies").join(degree.withColumnRenamed("a", "node"), "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = known.groupBy("label").agg(F.min("vec").alias("component_id"))
     answer = known.join(smallest, "label").select("node", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

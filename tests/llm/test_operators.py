@@ -306,6 +306,23 @@ def test_embedding_components_equal_brute_force(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [8192, 100])
+def test_embedding_links_of_a_large_group_are_all_counted(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(embedding_dedup, "BLOCK_ROWS", block_rows, raising=False)
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(16) + 0.2 * rng.standard_normal((600, 16))
+    x = np.concatenate([hot, hot[:3], rng.standard_normal((200, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(e) for e in v]) for k, v in enumerate(x)] + [(5000, [1.0] * 3), (5001, [1.0, 1.0, 1.01])], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding_dedup.dedup(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    low = np.arange(len(x))
+    for _ in range(20):
+        low = np.array([low[row].min() for row in near])
+    assert 50 < near.sum(axis=1).max() and [got[k].n_links for k in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    assert [got[k].component_id for k in range(len(x))] == low.tolist() and got[5001].component_id == 5000
+
+
 def test_line_dedup_equals_brute_force(spark, empty):
     rows = [(k, f"intro line {k} here\nshared by all sites\nshort\nseen on {k % 9} of nine sites", "en", f"s{k % 12}", 0) for k in range(36)] + [(100, None, "en", "s1", 0), (101, "", None, None, None), (1, "again shared by\nshared by all sites", "en", "s3", 0)]
     got = line_dedup.clean(spark.createDataFrame(rows, DOC).withColumn("n_lines", F.lit("clash"))).collect()
