@@ -194,13 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
 
     The driver gets the statistics of at most ``most`` labelled rows, those of the smallest
     hashes of their ids; rows with a null id, text or quality, and texts that the base rules
-    reject, don't teach. An id labelled twice or met twice counts twice.
+    reject, don't teach. An id counts once for each quality it is labelled with: of several
+    rows of docs the one of the smallest statistics teaches, however many they are.
     """
-    known = labels.where(F.col("quality").isNotNull() & F.col(id_column).isNotNull()).select(id_column, "quality")
+    known = labels.where(F.col("quality").isNotNull() & F.col(id_column).isNotNull()).select(id_column, "quality").distinct()
     picked = known.orderBy(F.xxhash64(F.col(id_column)), id_column, "quality").limit(most)
     rows = docs.where(F.col(text).isNotNull()).select(id_column, text).join(F.broadcast(picked), id_column)
     seen = with_statistics(rows, text).where(~base_failed()).select(id_column, "quality", *FEATURES)
-    found = sorted(tuple(r) for r in seen.collect())
+    once = seen.groupBy(id_column, "quality").agg(F.min(F.struct(*FEATURES)).alias("row")).select(id_column, "quality", "row.*")
+    found = sorted(tuple(r) for r in once.collect())
     return learn([(dict(zip(FEATURES, r[2:], strict=True)), r[1] == 0) for r in found])
 
 

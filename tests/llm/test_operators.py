@@ -173,6 +173,20 @@ def test_quality_statistics_equal_brute_force(spark, empty):
     assert quality_rules.judge(empty, []).count() == 0
 
 
+def test_labelled_ids_teach_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_rules, "learn", lambda rows: seen.append(rows) or [])
+    text = words(3, 60)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(10)] + [(1, 1), (2, 1)], "doc_id long, quality int")
+    once = spark.createDataFrame([(k, f"{text} {'x' * (k + 1)}") for k in range(12)], "doc_id long, text string")
+    hot = once.union(once.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", F.concat("text", F.lit(" longer"), F.repeat(F.lit("y"), F.col("id").cast("int"))).alias("text")))
+    for rows in (once, hot, hot.union(hot)):
+        quality_rules.fit(rows, labels)
+    assert len(seen[0]) == len(seen[1]) == 11 and seen[1] == seen[2]
+    quality_rules.fit(hot, labels, most=4)
+    assert len(seen[3]) == 4
+
+
 def test_decision_list_learns_a_conjunction():
     rng, rows = np.random.default_rng(0), []
     for _ in range(1500):
