@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the cluster names, or a private one where none is named."""
+    """The folder that driver and executors share: what the cluster names; a private one only if all run in this process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridstone-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+def mark_for(*tables: DataFrame) -> str:
+    """The beginning of names for columns of one's own: no column of the tables has it, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return mark
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
@@ -148,18 +165,37 @@ def parts_for(n: int) -> int:
     return 1 + n // TASK_ROWS
 
 
-def settled(df: DataFrame) -> tuple[DataFrame, int]:
-    """A written table of narrow rows in the shared folder, read by as many tasks as its rows are worth, and their number.
+def settled(df: DataFrame, wide: bool = False) -> tuple[DataFrame, int]:
+    """A written table in the shared folder, and the number of its rows; narrow rows are read by as many tasks as they are worth.
 
     Unlike a checkpoint it is computed once and keeps no constraints of its plan, which
-    would double with every turn of a loop.
+    would double with every turn of a loop. discard() takes it away.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     n = out.count()
-    return out.coalesce(parts_for(n)), n
+    out = out if wide else out.coalesce(parts_for(n))
+    _folders[id(out)] = (weakref.ref(out), folder)
+    return out, n
+
+
+_folders: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing to come reads: what was made of them has been written."""
+    for t in tables:
+        known, folder = _folders.pop(id(t), (lambda: None, None))
+        if known() is t:
+            delete(t.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _united(edges: DataFrame) -> DataFrame:
