@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridstone.llm.common import discard, mark_for, named, settled, shared_folder
+
 #: Chunks between white space whose counts a worker remembers at most; then it starts anew.
 MOST_CHUNKS = 1_200_000
 
@@ -80,45 +82,46 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | Non
     return stored.where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+#: Contents that several rows have, of which so many are broadcast at most; more are joined by shuffles.
+MOST_REPEATED = 500_000
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text", normalise=collapse_white) -> DataFrame:
     """docs with n_tokens: what the library counts without added special tokens.
 
-    cache: a folder that all executors share. Contents that it lacks for this tokenizer
-    are encoded, each once for an input partition that has it, and appended once; then all rows
-    get their counts by a join on the content's digest. normalise must not change counts.
-    A null text counts as empty (0). Repeated rows get equal counts. Empty table: no rows.
-    A column n_tokens of docs is replaced.
+    cache: a folder that all executors share. Each different content that it lacks for this
+    tokenizer is encoded once and appended: a content that only one row has where that row
+    is read, the others after a shuffle that keeps one text of each. Then all rows get their
+    counts by a join on the content's digest. normalise must not change counts. A null text
+    counts as empty (0). Repeated rows get equal counts. Empty table: no rows. A column
+    n_tokens of docs is replaced, any other kept, whatever its name.
     """
-    spark = docs.sparkSession
-    version = version_of(tokenizer)
-    content = F.unhex(F.md5(normalise(F.col(text)).cast("binary")))
-    rows = docs.drop("n_tokens").withColumn("_content", content)
-    todo = docs.select(F.lit(0).alias("k"), normalise(F.col(text)).alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"), "text")
+    spark, mark = docs.sparkSession, mark_for(docs)
+    version, key = version_of(tokenizer), f"{mark}content"
+    whole = normalise(named(text))
+    todo = docs.select(whole.alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"), "text")
     stored = read_cache(spark, cache, version)
     if stored is not None:
         todo = todo.join(stored.select("content"), "content", "left_anti")
+    repeated, n = settled(todo.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"))
+    listed = F.broadcast(repeated) if n <= MOST_REPEATED else repeated
+    alone = todo.join(listed, "content", "left_anti")
+    shared = todo.join(listed, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, done = counter(tokenizer), set()
+        count = counter(tokenizer)
         for batch in batches:
-            contents, counts = [], []
-            for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if c not in done:
-                    done.add(c)
-                    contents.append(c)
-                    counts.append(count(t))
-            if len(done) > 2_000_000:
-                done.clear()
-            yield pa.RecordBatch.from_pydict({"content": pa.array(contents, pa.binary()), "n_tokens": pa.array(counts, pa.int64())})
-
-    fresh = todo.mapInArrow(encode, "content binary, n_tokens long").dropDuplicates(["content"])
+            counts = [count(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
+
+    fresh = alone.select("content", "text").union(shared).mapInArrow(encode, "content binary, n_tokens long")
     fresh.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    known = read_cache(spark, cache, version).withColumnRenamed("content", "_content")
-    return rows.join(known, "_content").drop("_content")
+    discard(repeated)
+    known = read_cache(spark, cache, version).withColumnRenamed("content", key)
+    rows = docs.drop("n_tokens").withColumn(key, F.unhex(F.md5(whole.cast("binary"))))
+    return rows.join(known, key).drop(key)
 
 
 def own_cache(spark: SparkSession) -> str:
     """A new folder for a cache under the cluster's shared folder."""
-    from gridstone.llm.common import shared_folder
-
     return f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
