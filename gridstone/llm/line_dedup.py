@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, digest
+from gridstone.llm.common import checkpoint, digest, mark_for, named
 
 #: A line on so many different sites is boilerplate.
 LEAST_SITES = 8
 #: log2 of a sketch's size, and three of its standard errors.
 LG_K, MARGIN = 10, 0.1
-#: Lines of fewer words than this stay: they recur by chance.
-LEAST_WORDS = 3
 
 
 def _line_hash(line: Column) -> Column:
@@ -23,16 +21,17 @@ def _lines(text: Column | str) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", least_sites: int = LEAST_SITES, least_words: int = LEAST_WORDS) -> DataFrame:
+def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", least_sites: int = LEAST_SITES) -> DataFrame:
     """(h, owner): hashes of the lines on at least least_sites different sites, and the smallest id that has the line.
 
-    A sketch per line hash estimates its sites; estimates within MARGIN of the threshold are
+    Every line with a character other than ASCII white space is judged, however short. A
+    sketch per line hash estimates its sites; estimates within MARGIN of the threshold are
     replaced by exact distinct counts. A null site is a site of its own.
     """
-    place = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit(""))
-    worth = lambda line: F.regexp_like(line, F.lit(rf"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{least_words - 1}}}[^\x20\x09-\x0D]"))
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.col(text)), worth), _line_hash))
-    rows = docs.select(F.col(id_column).alias("id"), place.alias("site"), F.explode(hashes).alias("h"))
+    place = F.coalesce(F.concat(F.lit("="), named(site).cast("string")), F.lit(""))
+    filled = lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
+    hashes = F.array_distinct(F.transform(F.filter(_lines(named(text)), filled), _line_hash))
+    rows = docs.select(named(id_column).alias("id"), place.alias("site"), F.explode(hashes).alias("h"))
     # A site's rows of a line first become one, then sketches merge: both by partial aggregation.
     sketched = rows.groupBy("h").agg(F.min("id").alias("owner"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     spread = sketched.select("h", "owner", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least_sites * (1 - MARGIN) - 1)
@@ -43,23 +42,29 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_co
     return sure.union(near.join(exact.select("h"), "h", "left_semi").select("h", "owner"))
 
 
-def clean(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", least_sites: int = LEAST_SITES, least_words: int = LEAST_WORDS) -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", least_sites: int = LEAST_SITES) -> DataFrame:
     """docs without boilerplate lines, with n_lines (before) and n_removed.
 
     The document of the smallest id keeps its copy of a line, so that nothing vanishes from
     the corpus; every other document loses all copies. Lines are parts between \\n; lines of
-    fewer than least_words words stay. Null text: stays null, with 0 lines. Null id: such
-    rows own a line only if all its rows have null ids. Repeated rows are treated alike.
-    Empty table: no rows. Columns n_lines and n_removed of docs are replaced.
+    ASCII white space alone stay. Null text: stays null, with 0 lines. Null id: such rows own
+    a line only if all its rows have null ids. Repeated rows are treated alike. Empty table:
+    no rows. Columns n_lines and n_removed of docs are replaced, any other kept, whatever
+    its name.
     """
-    bad = checkpoint(boilerplate(docs, text, site, id_column, least_sites, least_words))
-    node = digest(F.col(text))
-    found = docs.select(node.alias("_node"), F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _line_hash))).alias("h")).join(bad, "h").distinct()
-    listed = found.groupBy("_node").agg(F.collect_list(F.struct("h", "owner")).alias("_bad"))
-    d = docs.drop("n_lines", "n_removed").withColumn("_node", node).join(listed, "_node", "left")
-    d = d.withColumn("_mine", F.transform(F.filter(F.coalesce("_bad", F.array().cast("array<struct<h:bigint,owner:bigint>>")), lambda b: ~b["owner"].eqNullSafe(F.col(id_column))), lambda b: b["h"]))
-    d = d.withColumn("_left", F.when(F.size("_mine") > 0, F.filter(_lines(F.col(text)), lambda line: ~F.array_contains(F.col("_mine"), _line_hash(line)))))
-    d = d.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(F.col(text)))).cast("long"))
-    d = d.withColumn("n_removed", F.when(F.col("_left").isNull(), 0).otherwise(F.col("n_lines") - F.size("_left")).cast("long"))
-    d = d.withColumn(text, F.when(F.col("_left").isNull(), F.col(text)).otherwise(F.array_join("_left", "\n")))
-    return d.select(*docs.drop("n_lines", "n_removed").columns, "n_lines", "n_removed")
+    bad = checkpoint(boilerplate(docs, text, site, id_column, least_sites))
+    mark = mark_for(docs)
+    node, found_bad, mine, left = (f"{mark}{x}" for x in ("node", "bad", "mine", "left"))
+    kept_names = docs.drop("n_lines", "n_removed").columns
+    hashes = F.array_distinct(F.transform(_lines(named(text)), _line_hash))
+    found = docs.select(digest(named(text)).alias(node), F.explode(hashes).alias("h")).join(bad, "h").distinct()
+    listed = found.groupBy(node).agg(F.collect_list(F.struct("h", "owner")).alias(found_bad))
+    d = docs.drop("n_lines", "n_removed").withColumn(node, digest(named(text))).join(listed, node, "left")
+    none = F.array().cast(listed.schema[found_bad].dataType)
+    others = F.filter(F.coalesce(found_bad, none), lambda b: ~b["owner"].eqNullSafe(named(id_column)))
+    d = d.withColumn(mine, F.transform(others, lambda b: b["h"]))
+    d = d.withColumn(left, F.when(F.size(mine) > 0, F.filter(_lines(named(text)), lambda line: ~F.array_contains(F.col(mine), _line_hash(line)))))
+    n_lines = F.when(named(text).isNull(), 0).otherwise(F.size(_lines(named(text)))).cast("long")
+    n_removed = F.when(F.col(left).isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size(left)).cast("long")
+    whole = F.when(F.col(left).isNull(), named(text)).otherwise(F.array_join(left, "\n")).alias(text)
+    return d.select(*[whole if c == text else named(c) for c in kept_names], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
