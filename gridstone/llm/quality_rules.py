@@ -12,6 +12,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.llm.common import mark_for, named
+
 #: Labelled rows that the learner gets at most: those of the smallest hashes of their ids.
 MOST_LABELLED = 6_000
 
@@ -29,36 +31,39 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     n_symbols: characters of ``[#*$%&|<>]``; n_dup_lines: lines with a word that equal an
     earlier line; n_repeat_words: words in runs of five that the text has twice or more
     (runs are compared by 64-bit hashes); further shares for the rules. A null text has no
-    words, and all counts are 0. Columns of these names in df are replaced.
+    words, and all counts are 0. Columns of these names in df are replaced, any other kept,
+    whatever its name.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    d = df.drop(*_STATS, *FEATURES).withColumn("_t", whole)
-    d = d.withColumn("_w", F.array_remove(F.split("_t", _WHITE), ""))
-    d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))))
-    d = d.withColumns({"_h": F.transform("_w", lambda w: F.xxhash64(w)), "_joined": F.array_join("_w", "")})
+    mark = mark_for(df)
+    w, lines, t, h, joined, five, repeats, ordered, at = (f"{mark}{x}" for x in ("w", "l", "t", "h", "joined", "five", "repeats", "sorted", "at"))
+    bangs, digits, upper, n_lines, distinct, short = (f"{mark}{x}" for x in ("bangs", "digits", "upper", "lines", "distinct", "short"))
+    d = df.drop(*_STATS, *FEATURES).withColumn(t, F.coalesce(named(text), F.lit("")))
+    d = d.withColumn(w, F.array_remove(F.split(t, _WHITE), ""))
+    d = d.withColumn(lines, F.filter(F.split(t, "\n"), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))))
+    d = d.withColumns({h: F.transform(w, lambda x: F.xxhash64(x)), joined: F.array_join(w, "")})
     d = d.withColumns(
         {
-            "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length("_joined").cast("long"),
-            "n_symbols": F.size(F.regexp_extract_all("_joined", F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long"),
-            "_bangs": F.size(F.regexp_extract_all("_joined", F.lit("[!?]"), F.lit(0))),
-            "_digits": F.size(F.regexp_extract_all("_joined", F.lit("[0-9]"), F.lit(0))),
-            "_upper": F.size(F.regexp_extract_all("_joined", F.lit("[A-Z]"), F.lit(0))),
-            "_lines": F.size("_l"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "_distinct": F.size(F.array_distinct("_h")),
-            "_short": F.size(F.filter("_w", lambda w: F.octet_length(w) <= 3)),
+            "n_words": F.size(w).cast("long"),
+            "word_chars": F.length(joined).cast("long"),
+            "n_symbols": F.size(F.regexp_extract_all(joined, F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long"),
+            bangs: F.size(F.regexp_extract_all(joined, F.lit("[!?]"), F.lit(0))),
+            digits: F.size(F.regexp_extract_all(joined, F.lit("[0-9]"), F.lit(0))),
+            upper: F.size(F.regexp_extract_all(joined, F.lit("[A-Z]"), F.lit(0))),
+            n_lines: F.size(lines),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            distinct: F.size(F.array_distinct(h)),
+            short: F.size(F.filter(w, lambda x: F.octet_length(x) <= 3)),
         }
     )
-    five = "case when size(_h) >= 5 then transform(slice(_h, 1, size(_h) - 4), (x, i) -> xxhash64(x, _h[i + 1], _h[i + 2], _h[i + 3], _h[i + 4])) else cast(array() as array<bigint>) end"
-    d = d.withColumn("_five", F.expr(five))
-    d = d.withColumn("_repeats", F.expr("size(array_distinct(_five)) < size(_five)"))
+    runs = f"case when size({h}) >= 5 then transform(slice({h}, 1, size({h}) - 4), (x, i) -> xxhash64(x, {h}[i + 1], {h}[i + 2], {h}[i + 3], {h}[i + 4])) else cast(array() as array<bigint>) end"
+    d = d.withColumn(five, F.expr(runs))
+    d = d.withColumn(repeats, F.expr(f"size(array_distinct({five})) < size({five})"))
     # Only for texts with a repeated run: runs beside an equal one when sorted by hash, back in the text's order.
-    d = d.withColumn("_sorted", F.expr("case when _repeats then sort_array(transform(_five, (x, i) -> named_struct('h', x, 'i', i))) end"))
-    twice = "sort_array(transform(filter(_sorted, (x, k) -> (k > 0 and _sorted[greatest(k - 1, 0)].h = x.h) or (k < size(_sorted) - 1 and _sorted[least(k + 1, size(_sorted) - 1)].h = x.h)), x -> x.i))"
-    d = d.withColumn("_at", F.expr(f"case when _repeats then {twice} end"))
-    covered = "aggregate(transform(_at, (p, k) -> case when k < size(_at) - 1 then least(5, _at[least(k + 1, size(_at) - 1)] - p) else 5 end), 0L, (s, x) -> s + x)"
-    d = d.withColumn("n_repeat_words", F.expr(f"case when _repeats then {covered} else 0L end"))
+    d = d.withColumn(ordered, F.expr(f"case when {repeats} then sort_array(transform({five}, (x, i) -> named_struct('h', x, 'i', i))) end"))
+    twice = f"sort_array(transform(filter({ordered}, (x, k) -> (k > 0 and {ordered}[greatest(k - 1, 0)].h = x.h) or (k < size({ordered}) - 1 and {ordered}[least(k + 1, size({ordered}) - 1)].h = x.h)), x -> x.i))"
+    d = d.withColumn(at, F.expr(f"case when {repeats} then {twice} end"))
+    covered = f"aggregate(transform({at}, (p, k) -> case when k < size({at}) - 1 then least(5, {at}[least(k + 1, size({at}) - 1)] - p) else 5 end), 0L, (s, x) -> s + x)"
+    d = d.withColumn("n_repeat_words", F.expr(f"case when {repeats} then {covered} else 0L end"))
 
     def share(part: str, of: str) -> Column:
         return F.when(F.col(of) > 0, F.col(part) / F.col(of)).otherwise(0.0).cast("double")
@@ -67,19 +72,19 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
         {
             "mean_word": share("word_chars", "n_words"),
             "symbol_share": share("n_symbols", "n_words"),
-            "bang_share": share("_bangs", "n_words"),
-            "digit_share": share("_digits", "word_chars"),
-            "upper_share": share("_upper", "word_chars"),
-            "stop_share": share("_short", "n_words"),
-            "dup_line_share": share("n_dup_lines", "_lines"),
+            "bang_share": share(bangs, "n_words"),
+            "digit_share": share(digits, "word_chars"),
+            "upper_share": share(upper, "word_chars"),
+            "stop_share": share(short, "n_words"),
+            "dup_line_share": share("n_dup_lines", n_lines),
             "repeat_share": share("n_repeat_words", "n_words"),
-            "words_per_line": share("n_words", "_lines"),
-            "distinct_share": share("_distinct", "n_words"),
+            "words_per_line": share("n_words", n_lines),
+            "distinct_share": share(distinct, "n_words"),
         }
     )
     # Leaves through a generator: a filter on a statistic must not be pushed below, where it would compute them all once more.
     own = [F.col(c).alias(c) for c in dict.fromkeys(_STATS + FEATURES)]
-    return d.select(*df.drop(*_STATS, *FEATURES).columns, F.inline(F.array(F.struct(*own))))
+    return d.select(*map(named, df.drop(*_STATS, *FEATURES).columns), F.inline(F.array(F.struct(*own))))
 
 
 def base_failed() -> Column:
