@@ -14,12 +14,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.llm.common import discard, settled
+
 #: Of the .warc.zst format: the skippable frame that holds the dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
 #: Bytes of a dictionary, and of the records (a partition's first ones) that it is built from at most.
 DICTIONARY_BYTES, SAMPLE_BYTES = 32 << 10, 2 << 20
 #: An archive closes after so many compressed bytes.
 ARCHIVE_BYTES = 1 << 20
+#: Repeated payloads whose digests are broadcast at most; with more of them payloads are joined by shuffles.
+MOST_REPEATED = 500_000
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -102,9 +106,11 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_column: str =
     """
     rows = pages.select(F.col(id_column).cast("long").alias("name"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("node", F.unhex(F.sha1("payload")))
-    keepers = rows.select("name", "node").groupBy("node").agg(F.max("name").alias("keeper"))
-    alike = (F.octet_length("payload") >= least_bytes) & F.col("keeper").isNotNull() & ~F.col("name").eqNullSafe(F.col("keeper"))
-    ready = rows.join(keepers, "node").select("name", "url", "payload", F.when(alike, F.col("keeper")).alias("refers_to"))
+    counted = rows.where(F.octet_length("payload") >= least_bytes).groupBy("node").agg(F.max("name").alias("keeper"), F.count("*").alias("n"))
+    repeated, n = settled(counted.where("n > 1 and keeper is not null").select("node", "keeper"))
+    # Only payloads that several rows have need a partner: few enough are broadcast, so that no payload is shuffled.
+    both = rows.join(F.broadcast(repeated) if n <= MOST_REPEATED else repeated, "node", "left")
+    ready = both.select("name", "url", "payload", F.when(~F.col("name").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -152,6 +158,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, id_column: str =
             yield closed()
 
     ready.mapInArrow(archive, "archive string, content binary").write.option("compression", "uncompressed").parquet(folder)
+    discard(repeated)
 
 
 def read(spark, folder: str) -> DataFrame:
