@@ -1,17 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-States are (place in the input, last piece); an arc reads the characters of a piece and
-weighs minus its score. For a model of merges (BPE) an arc after another is allowed if
-merging the two pieces' characters alone gives just these two pieces; else its weight is
-infinite. Every text then has one path of finite weight, and it is the merges' result:
-the first merge across a border of two pieces would be one in these two pieces alone. For
-a unigram model all arcs are allowed and the shortest path is its result.
+Three machines in a row, compiled from a model file: the normaliser rewrites the longest
+mapped run at each place and then white space; the pieces read the result; byte fallback
+reads a character that no piece reads. Composed with an input their states are (place in
+the input, last piece). An arc reads a piece and weighs minus its score, and the shortest
+path in the tropical semiring is the answer, for both kinds of model. In a model of merges
+(BPE) an arc also weighs infinity after a piece that merging would not leave beside it:
+if merging the two pieces' characters alone doesn't give just these two. Every text then
+has one path of finite weight, and it is the merges' result: the first merge across a
+border of two pieces would be one in these two pieces alone.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +25,77 @@ from pyspark.sql import functions as F
 BAR = "▁"
 #: Segments and pairs that a worker remembers at most; then it starts anew.
 MOST_SEGMENTS, MOST_PAIRS = 1_200_000, 1_000_000
+#: What a character without a piece scores below the least piece; fixed value of the library.
+UNKNOWN_PENALTY = 10.0
+
+
+def mappings(packed: bytes) -> dict[str, str]:
+    """The rewritings of a packed normaliser: a double-array trie of keys, then the texts that its leaves point to."""
+    if not packed:
+        return {}
+    size = int.from_bytes(packed[:4], "little")
+    units, texts = np.frombuffer(packed, "<u4", size // 4, 4), packed[4 + size :]
+    first = lambda u: (u >> 10) << ((u & (1 << 9)) >> 6)
+    letters = np.arange(256, dtype=np.uint32)
+    keys, places, out = [b""], np.zeros(1, np.uint32), {}
+    while keys:
+        to = (places ^ first(units[places]))[:, None] ^ letters
+        to[to >= len(units)] = 0
+        rows, letter = np.nonzero((units[to] & np.uint32(0x800000FF)) == letters)
+        live = letter > 0  # a key doesn't hold the byte 0
+        rows, letter = rows[live], letter[live]
+        places, keys = to[rows, letter], [keys[r] + bytes([c]) for r, c in zip(rows.tolist(), letter.tolist(), strict=True)]
+        leaf = (units[places] >> 8) & 1 == 1
+        values = units[places ^ first(units[places])] & np.uint32(0x7FFFFFFF)
+        for k in np.flatnonzero(leaf).tolist():
+            at = int(values[k])
+            out[keys[k].decode()] = texts[at : texts.index(b"\0", at)].decode()
+    return out
+
+
+class Normaliser:
+    """From a text to what the pieces read: mapped runs, one space for many if the model says so, BAR for a space."""
+
+    def __init__(self, spec, kept: list[str]):
+        if spec.HasField("escape_whitespaces") and not spec.escape_whitespaces:
+            raise ValueError("white space must be escaped")
+        self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        self.arcs = mappings(spec.precompiled_charsmap) | {p: p for p in kept}  # pieces that users defined stay as they are
+        self.kept = set(kept)
+        self.longest = max(map(len, self.arcs), default=0)
+        self.begins = {k[0] for k in self.arcs}
+        self.plain = not self.arcs and not self.squeeze
+
+    def _rewritten(self, text: str) -> Iterator[str]:
+        at, n = 0, len(text)
+        while at < n:
+            run = 1
+            if text[at] in self.begins:
+                sizes = range(min(self.longest, n - at), 0, -1)
+                run = next((k for k in sizes if text[at : at + k] in self.kept), 0) or next((k for k in sizes if text[at : at + k] in self.arcs), 1)
+            part = text[at : at + run]
+            yield self.arcs.get(part, part)
+            at += run
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.plain:
+            return (BAR if self.prefix else "") + text.replace(" ", BAR)
+        parts, out, spaced = list(self._rewritten(text)), [BAR if self.prefix else ""], self.squeeze
+        if self.squeeze:
+            while parts and parts[0] == " ":
+                parts.pop(0)
+            if not parts:
+                return ""
+        for part in parts:
+            if spaced:
+                part = part.lstrip(" ")
+            if part:
+                out.append(part.replace(" ", BAR))
+                spaced = self.squeeze and part.endswith(" ")
+        whole = "".join(out)
+        return whole.rstrip(BAR) if self.squeeze else whole
 
 
 class Transducer:
@@ -32,16 +107,19 @@ class Transducer:
         model = model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
-        norm, trainer = model.normalizer_spec, model.trainer_spec
-        if norm.precompiled_charsmap or trainer.treat_whitespace_as_suffix or not norm.escape_whitespaces or trainer.model_type not in (1, 2):
-            raise ValueError("only identity normalisation, escaped white space before words, and unigram or BPE pieces are supported")
-        self.merges = trainer.model_type == 2
-        self.prefix, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         kinds = model_pb2.ModelProto.SentencePiece
+        trainer = model.trainer_spec
+        self.merges = trainer.model_type == 2
+        unused = any(p.type == kinds.UNUSED for p in model.pieces)
+        if trainer.treat_whitespace_as_suffix or trainer.model_type not in (1, 2) or (unused and self.merges):
+            raise ValueError("only white space before words, and unigram or BPE pieces, all of them in use, are supported")
+        self.normalise = Normaliser(model.normalizer_spec, [p.piece for p in model.pieces if p.type == kinds.USER_DEFINED])
+        self.prefix = self.normalise.prefix
         self.pieces: list[bytes] = []
-        self.score: dict[str, float] = {}
         self.ids: dict[str, int] = {}
+        self.score: dict[str, float] = {}
         self.bytes: dict[int, int] = {}
+        users: list[str] = []
         for k, p in enumerate(model.pieces):
             kind = p.type
             self.pieces.append(b"" if kind == kinds.CONTROL else p.piece.encode())
@@ -50,18 +128,27 @@ class Transducer:
                 self.bytes[value], self.pieces[-1] = k, bytes([value])
             elif kind == kinds.UNKNOWN:
                 self.unknown, self.pieces[-1] = k, " ⁇ ".encode()
-            elif kind in (kinds.NORMAL, kinds.USER_DEFINED):
+            elif kind == kinds.NORMAL:
                 self.score[p.piece], self.ids[p.piece] = p.score, k
-        self.least = min(self.score.values(), default=0.0) - 10
-        # Arcs start and end at BAR unless a piece holds a BAR behind another character.
-        if any(BAR in p.lstrip(BAR) for p in self.ids):
-            raise ValueError("pieces that reach over white space aren't supported")
+            elif kind == kinds.USER_DEFINED:
+                users.append(p.piece)
+                self.ids[p.piece] = k
+        scores = list(self.score.values())
+        self.least = np.float32(min(scores, default=0.0)) - np.float32(UNKNOWN_PENALTY)
+        # A piece that a user defined is always taken: alone among merges, by a score beyond any path's otherwise.
+        self.frozen = re.compile("|".join(map(re.escape, sorted(users, key=len, reverse=True)))) if users and self.merges else None
+        if not self.merges:
+            most = np.float32(max([*scores, 0.0]))  # the library's largest score is never below zero
+            self.score |= {p: float(np.float32(np.float32(len(p.encode())) * most) - np.float32(0.1)) for p in users}
+        # Arcs start and end at BAR unless a piece holds a BAR behind another character; then words may be read apart.
+        # Weights of unigrams are rounded along the whole text, and unknown characters beside each other become one.
+        self.borders = self.merges and not any(BAR in p.lstrip(BAR) for p in self.ids) and bool(self.bytes)
         self.line_feed_alone = not any("\n" in p for p in self.ids)
         self._allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         # The transducer's input letters so far: 1 if they are an arc's, plus 2 if an arc goes on from them.
-        self.steps = {p: int(not self.merges or self._merged(p) == [p]) for p in self.ids}
+        self.steps = {p: int(not self.merges or self._merged(p) == [p]) for p in self.score}
         for prefix in {p[:k] for p, arc in self.steps.items() if arc for k in range(1, len(p))}:
             self.steps[prefix] = self.steps.get(prefix, 0) | 2
 
@@ -98,18 +185,21 @@ class Transducer:
     def path(self, text: str) -> list[str]:
         """The pieces of the shortest path through a normalised text; a character without a piece is one by itself.
 
-        A place keeps one state: with merges only one last piece has a finite weight there,
-        and otherwise the last piece doesn't matter for what follows.
+        A place keeps its lightest state: with merges only one last piece has a finite weight
+        there, and otherwise the last piece doesn't matter for what follows. Whether an arc
+        weighs infinity is asked only if it would be the lightest. Of equally light paths the
+        one whose last arc begins first stays, as in the library; unigram weights are summed
+        in single precision as there.
         """
-        steps = self.steps
-        if steps.get(text, 0) & 1:
+        steps, merges, allowed = self.steps, self.merges, self._allowed
+        if merges and steps.get(text, 0) & 1:  # merging the whole gives one piece
             return [text]
-        n, merges, allowed = len(text), self.merges, self._allowed
-        weight: list[float | None] = [0.0] + [None] * n
+        n, score, unknown = len(text), self.score, float(self.least)
+        weight: list[float] = [0.0] + [inf] * n
         back: list[tuple[str, int]] = [("", 0)] * (n + 1)
         for begin in range(n):
             so_far = weight[begin]
-            if so_far is None:
+            if so_far == inf:
                 continue
             last = back[begin][0]
             for end in range(begin + 1, n + 1):
@@ -118,15 +208,11 @@ class Transducer:
                 if step is None and end > begin + 1:
                     break
                 if step is None or step & 1 or end == begin + 1:
-                    known = weight[end]
-                    if merges:
-                        # A place that a path has reached has no other path.
-                        if known is None and (not last or (allowed[last, piece] if (last, piece) in allowed else self._follows(last, piece))):
-                            weight[end], back[end] = so_far - self.score.get(piece, self.least), (piece, begin)
-                    else:
-                        w = so_far - self.score.get(piece, self.least)
-                        if known is None or w < known:
-                            weight[end], back[end] = w, (piece, begin)
+                    w = so_far - score.get(piece, unknown)
+                    if not merges:
+                        w = float(np.float32(w))
+                    if w < weight[end] and (not merges or not last or (allowed[last, piece] if (last, piece) in allowed else self._follows(last, piece))):
+                        weight[end], back[end] = w, (piece, begin)
                 if step is None or step < 2:
                     break
         out, end = [], n
@@ -135,9 +221,20 @@ class Transducer:
             out.append(piece)
         return out[::-1]
 
+    def _taken(self, segment: str) -> Iterator[str]:
+        """The pieces of a segment: those that users defined stand alone among merges."""
+        at = 0
+        for met in self.frozen.finditer(segment) if self.frozen else ():
+            if met.start() > at:
+                yield from self.path(segment[at : met.start()])
+            yield met[0]
+            at = met.end()
+        if at < len(segment):
+            yield from self.path(segment[at:])
+
     def _ids(self, segment: str) -> bytes:
         ids: list[int] = []
-        for piece in self.path(segment):
+        for piece in self._taken(segment):
             if piece in self.ids:
                 ids.append(self.ids[piece])
             elif self.bytes:
@@ -167,25 +264,30 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        if self.squeeze:
-            text = re.sub(" +", " ", text.replace(BAR, " ")).strip(" ")
         if not text:
             return b""
-        if self.prefix and self.line_feed_alone and self.bytes and "  " not in text and BAR not in text and text[0] != " ":
+        if self.normalise.plain and self.prefix and self.borders and self.line_feed_alone and "  " not in text and BAR not in text and text[0] != " ":
             chunks = text.replace("\n", " \n").split(" ")
             try:
                 return b"".join(map(self.known.__getitem__, chunks))
             except KeyError:
                 self._fill(chunks)
                 return b"".join(map(self.known.__getitem__, chunks))
-        text = (BAR if self.prefix else "") + text.replace(" ", BAR)
-        return b"".join(map(self._parts, re.findall(f"{BAR}*[^{BAR}]+|{BAR}+", text)))
+        text = self.normalise(text)
+        return b"".join(map(self._parts, re.findall(f"{BAR}*[^{BAR}]+|{BAR}+", text))) if self.borders else self._ids(text)
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids: bytes of byte pieces join; the space before the first word goes."""
-        raw = b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        text = raw.decode("utf-8", "replace").replace(BAR, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """The text of ids: bytes of byte pieces join; the space before the first word goes, or all if the model keeps one of many."""
+        pieces, bar = list(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())), BAR.encode()
+        if self.prefix or self.normalise.squeeze:
+            for k, p in enumerate(pieces):
+                if p.startswith(bar):
+                    pieces[k] = p[len(bar) :]
+                    if not self.normalise.squeeze:
+                        break
+                if pieces[k]:
+                    break
+        return b"".join(pieces).decode("utf-8", "replace").replace(BAR, " ")
 
 
 _transducers: dict[str, Transducer] = {}
