@@ -12,7 +12,9 @@ from gridstone.llm.common import shared_folder, table
 
 #: The rules that op2's contract names: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Listed canonical hosts, blocked with their subdomains where no rule is longer: a rule of the contract that fits goes first.
+#: The table of listed urls that op2 blocks where no rule of the contract fits; without one it blocks LISTED.
+URL_LIST = "spark.gridstone.url.list"
+#: Listed canonical hosts, blocked with their subdomains.
 LISTED = tuple((f"{name}.example.{top}", "", "block") for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
 N_SHARDS = 16
 
@@ -33,7 +35,9 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    judged = url_filter.judge_by_rules(pages, url_filter.listing(spark, RULES), url_filter.listing(spark, LISTED))
+    folder = spark.conf.get(URL_LIST, None)
+    listed = url_filter.read_listing(spark, folder) if folder else url_filter.listing(spark, LISTED)
+    judged = url_filter.judge_by_rules(pages, url_filter.listing(spark, RULES), listed)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -93,18 +97,30 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in row) + ")" for row in rows)
 
 
-_LONG_LINE = r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+[\x20\x09-\x0D]+){2}[^\x20\x09-\x0D]"
+def _unescaped(column: str) -> str:
+    """url_filter.unescaped() of a column."""
+    letter = "chr(TRY_CAST('0x' || substr(p, 1, 2) AS INT))"
+    known = f"CASE WHEN regexp_full_match({letter}, '[A-Za-z0-9._~-]') THEN {letter} || substr(p, 3) ELSE '%' || upper(substr(p, 1, 2)) || substr(p, 3) END"
+    part = f"CASE WHEN i = 1 THEN p WHEN regexp_matches(p, '^[0-9A-Fa-f]{{2}}') THEN {known} ELSE '%' || p END"
+    return f"array_to_string(list_transform(string_split({column}, '%'), lambda p, i: {part}), '')"
+
+
+_FILLED = r"[^\x20\x09-\x0D]"
 
 SQL = {
-    "op2_url_filter": f"""
+    "op2_url_filter": rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') u FROM pages),
 h AS (SELECT page_id, CASE WHEN contains(u, '://') THEN translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END host,
   CASE WHEN contains(u, '://') THEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END path FROM p),
 r(rh, rp, rv) AS (VALUES {_values(RULES)}),
 l(lh, lp, lv) AS (VALUES {_values(LISTED)}),
-d AS (SELECT DISTINCT host, path FROM h),
+e AS (SELECT DISTINCT host, path, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*\z', '') bare FROM h),
+x AS (SELECT host, path, {_unescaped('bare')} bh, {_unescaped('path')} bp FROM e),
+d AS (SELECT host, path, regexp_replace(translate(bh, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\.+\z', '') ch, CASE WHEN contains(bp, '/.') THEN
+  list_reduce(string_split(bp, '/')[2:], lambda a, s: CASE WHEN s = '.' THEN a WHEN s = '..' THEN regexp_replace(a, '/[^/]*\z', '') ELSE a || '/' || s END, '')
+  || CASE WHEN string_split(bp, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE bp END cp FROM x),
 f AS (SELECT host, path, max_by(rh || rp, length(rh || rp) * 1000 + length(rh)) AS rule, max_by(rv, length(rh || rp) * 1000 + length(rh)) v FROM d JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
-g AS (SELECT host, path, max_by(lv, length(lh || lp) * 1000 + length(lh)) w FROM d JOIN l ON (host = lh OR ends_with(host, '.' || lh)) AND starts_with(path, lp) GROUP BY ALL)
+g AS (SELECT host, path, max_by(lv, length(lh || lp) * 1000 + length(lh)) w FROM d JOIN l ON (ch = lh OR ends_with(ch, '.' || lh)) AND starts_with(cp, lp) GROUP BY ALL)
 SELECT page_id, host, path, rule, coalesce(v, w, 'allow') AS verdict FROM h LEFT JOIN f USING (host, path) LEFT JOIN g USING (host, path)""",
     "op8_warc": """
 WITH r AS (SELECT page_id, coalesce(html, '') p FROM pages),
@@ -117,7 +133,7 @@ SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM n""",
     "op10_line_dedup": rf"""
 WITH t AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) l FROM documents),
-b AS (SELECT l, min(doc_id) owner FROM t WHERE regexp_matches(l, '{_LONG_LINE}') GROUP BY l HAVING count(DISTINCT coalesce('=' || source, '')) >= {line_dedup.LEAST_SITES}),
+b AS (SELECT l, min(doc_id) owner FROM t WHERE regexp_matches(l, '{_FILLED}') GROUP BY l HAVING count(DISTINCT coalesce('=' || source, '')) >= {line_dedup.LEAST_SITES}),
 s AS (SELECT doc_id, text, string_split(text, chr(10)) a FROM documents),
 e AS (SELECT doc_id, text, a, unnest(a) l, generate_subscripts(a, 1) i FROM s),
 k AS (SELECT doc_id, text, a, l, i, owner IS NOT NULL AND owner <> doc_id gone FROM e LEFT JOIN b USING (l))
