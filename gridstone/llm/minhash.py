@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, components, digest, mix, parts_for, settled, shingles, text_groups, word_hashes
+from gridstone.llm.common import checkpoint, components, digest, discard, mark_for, mix, named, settled, shingles, text_groups, word_hashes
 
 U64 = np.uint64
 BUCKETS = 1 << 18
-SEGMENTS = 16
+SEGMENTS, FAN = 16, 64
 #: Chance that two texts of similarity 0.8 share no key: (1 - 0.8 ** ROWS) ** BANDS = 0.0008.
 BANDS, ROWS = 10, 3
 SLOTS_LOG2 = 14
@@ -114,8 +114,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """Counters by bucket over all texts (a column text), and how many texts have a shingle.
 
-    Each input partition sends its counters once, by segments, compressed; a task adds up
-    a segment as a stream. The driver gets BUCKETS numbers.
+    Each input partition sends its counters once, by segments, compressed. They are added up
+    in two steps: FAN tasks for a segment each take a share of the partitions, then one adds
+    up FAN sums. The driver gets BUCKETS numbers.
     """
     width = BUCKETS // SEGMENTS
 
@@ -138,14 +139,14 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                 seen = total.setdefault(segment, [0, np.zeros(width, np.int64)])
                 seen[0] += n
                 seen[1] += np.frombuffer(zlib.decompress(counts), np.int64)
-        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "n": pa.array([x[0] for x in total.values()], pa.int64()), "counts": pa.array([x[1].tobytes() for x in total.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"segment": pa.array(list(total), pa.int32()), "n": pa.array([x[0] for x in total.values()], pa.int64()), "counts": pa.array([zlib.compress(x[1].tobytes(), 1) for x in total.values()], pa.binary())})
 
     schema = "segment int, n long, counts binary"
-    sent = texts.select("text").mapInArrow(count, schema)
-    rows = sent.repartition(SEGMENTS, "segment").mapInArrow(add, schema).collect()
+    sent = texts.select("text").mapInArrow(count, schema).withColumn("share", F.spark_partition_id() % FAN)
+    shares = sent.repartition("segment", "share").drop("share").mapInArrow(add, schema)
     counts, n_docs = np.zeros(BUCKETS, np.int64), 0
-    for r in rows:
-        counts[r.segment * width : (r.segment + 1) * width] = np.frombuffer(r.counts, np.int64)
+    for r in shares.repartition(SEGMENTS, "segment").mapInArrow(add, schema).collect():
+        counts[r.segment * width : (r.segment + 1) * width] = np.frombuffer(zlib.decompress(r.counts), np.int64)
         n_docs = r.n
     return counts, n_docs
 
@@ -328,28 +329,32 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     other. Repeated rows and extra columns change nothing. Empty table: no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_column).alias("doc"), digest(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(named(id_column).alias("doc"), digest(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     counts, n_docs = document_frequencies(rows)
     idf = spark.sparkContext.broadcast(idf_of(counts, n_docs))
     common = spark.sparkContext.broadcast(np.log1p(counts).astype(np.float32))
     names = checkpoint(rows.groupBy("node").agg(F.min("doc").alias("doc")))
-    keys = checkpoint(keys_of(rows, idf, common).distinct())
+    keys, _ = settled(keys_of(rows, idf, common).distinct())
     shared = keys.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
     many, _ = settled(keys.select("key", "node", "marks").join(shared.select("key", F.col("top.node").alias("center")), "key"))  # the keys that texts share
     # Any row has a text that equals another's, so one is taken before texts meet their pairs.
-    texts = checkpoint(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]))
+    texts, _ = settled(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), wide=True)
+    discard(keys)
     compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
     links, _ = settled(verified(compared, n, texts, idf, least))
     members, _ = settled(many.join(components(links), "node", "left").select("key", "node", "marks", "center", F.coalesce("component", "node").alias("label")))
+    discard(many, compared, links)
     # Inside a key, what its center didn't bring together: all other pairs that can be links.
     found, n_found = settled(remaining(members, texts, idf, least))
+    discard(texts)
+    state = members.select("node", "label").distinct()
     if n_found:
-        label_of = members.select("node", "label").distinct()
+        label_of = state
         ends = found.join(label_of.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label_of.withColumnsRenamed({"node": "b", "label": "v"}), "b")
         merged = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).withColumnRenamed("node", "label")
-        members, _ = settled(members.join(merged, "label", "left").select("key", "node", F.coalesce("component", "label").alias("label")))
-    state = members.select("node", "label").distinct()
-    whole = state.withColumnRenamed("label", "component")
+        state = state.join(merged, "label", "left").select("node", F.coalesce("component", "label").alias("label"))
+    whole, _ = settled(state.withColumnRenamed("label", "component"))
+    discard(members, found)
     labelled = names.join(whole, "node", "left").withColumn("label", F.coalesce("component", "node"))
     smallest = labelled.groupBy("label").agg(F.min("doc").alias("class_id"))
     return labelled.join(smallest, "label").select("node", "class_id", "label")
@@ -358,20 +363,21 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
 def classes(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> DataFrame:
     """One row for each of docs: its id, class_id and kept (its id is class_id); see groups()."""
     found = groups(docs, id_column, least).select("node", "class_id")
-    rows = docs.select(F.col(id_column), digest(F.col("text")).alias("node"))
-    return rows.join(found, "node").select(id_column, "class_id", F.col(id_column).eqNullSafe(F.col("class_id")).alias("kept"))
+    rows = docs.select(named(id_column).alias("doc"), digest(F.col("text")).alias("node"))
+    return rows.join(found, "node").select(F.col("doc").alias(id_column), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> DataFrame:
-    """docs with one row for each group: that of the smallest id, of rows with this id the first by text and other columns."""
-    names = docs.columns
-    found = groups(docs, id_column, least)
-    tagged = docs.withColumn("_node", digest(F.col("text"))).join(found.select(F.col("node").alias("_node"), F.col("class_id").alias("_class"), F.col("label").alias("_label")), "_node")
-    first = tagged.where(F.col(id_column).eqNullSafe(F.col("_class")))
-    repeated = checkpoint(first.groupBy("_label").count().where("count > 1").select("_label"))
-    if repeated.isEmpty():
-        return first.select(names)
-    once = first.join(F.broadcast(repeated) if repeated.count() < 100_000 else repeated, "_label", "left_anti")
-    order = W.partitionBy("_label").orderBy(F.to_json(F.struct(*[F.col(c) for c in names])))
-    again = first.join(repeated, "_label", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return once.select(names).union(again.select(names))
+    """docs with one row for each group: that of the smallest id, of rows with this id the first by text and other columns; all columns stay, whatever their names."""
+    columns, mark = [named(c) for c in docs.columns], mark_for(docs)
+    node, smallest, label, place = (f"{mark}{x}" for x in ("node", "class", "label", "n"))
+    found = groups(docs, id_column, least).select(F.col("node").alias(node), F.col("class_id").alias(smallest), F.col("label").alias(label))
+    tagged = docs.withColumn(node, digest(F.col("text"))).join(found, node)
+    first = tagged.where(named(id_column).eqNullSafe(F.col(smallest)))
+    repeated, n = settled(first.groupBy(label).count().where("count > 1").select(label))
+    if not n:
+        return first.select(columns)
+    once = first.join(F.broadcast(repeated) if n < 100_000 else repeated, label, "left_anti")
+    order = W.partitionBy(label).orderBy(F.to_json(F.struct(*columns)))
+    again = first.join(repeated, label, "left_semi").withColumn(place, F.row_number().over(order)).where(f"{place} = 1")
+    return once.select(columns).union(again.select(columns))
