@@ -27,7 +27,7 @@ from gridstone.llm.common import checkpoint, components, discard, settled
 #: Random projections of a sketch.
 BITS = 256
 #: Rows of a block of neighbours.
-WINDOW = 1024
+WINDOW = 512
 #: Share of lone pairs at the threshold that all passes may miss, for evenly spread vectors.
 MISS = 1e-3
 #: Share of near neighbours in a pass's order that the border of a task may part.
