@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import math
+import struct
 
-import numpy as np
 
-
-def below_f32(x: float) -> float:
-    """The largest float32 smaller than x, so that v >= x means v > below_f32(x)."""
-    if x == -math.inf:
-        return -math.inf
-    with np.errstate(over="ignore"):
-        f = np.float32(x)
-    return float(f) if float(f) < x else float(np.nextafter(f, np.float32(-np.inf)))
+def next_single_below(x: float) -> float:
+    """The largest single that is smaller than x, so that v >= x means v > next_single_below(x) for all singles v."""
+    if math.isinf(x):
+        return x if x < 0 else struct.unpack("<f", b"\xff\xff\x7f\x7f")[0]
+    try:
+        near = struct.unpack("<f", struct.pack("<f", x))[0]
+    except OverflowError:  # beyond the largest single
+        return next_single_below(math.inf) if x > 0 else -math.inf
+    if near < x:
+        return near
+    if near == 0:
+        return -struct.unpack("<f", b"\x01\0\0\0")[0]
+    bits = struct.unpack("<i", struct.pack("<f", near))[0]
+    return struct.unpack("<f", struct.pack("<i", bits - 1 if near > 0 else bits + 1))[0]
 
 
 def range_bounds(lo: float | None, hi: float | None, lo_inclusive: bool = False, hi_inclusive: bool = True) -> tuple[float, float]:
@@ -24,7 +30,7 @@ def range_bounds(lo: float | None, hi: float | None, lo_inclusive: bool = False,
     if low > high:
         raise ValueError("lo is above hi")
     if lo is not None and lo_inclusive:
-        low = below_f32(low)
+        low = next_single_below(low)
     if hi is not None and not hi_inclusive:
-        high = below_f32(high)
+        high = next_single_below(high)
     return low, high

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Arrays that grow along their first axis."""
