@@ -147,10 +147,15 @@ class Transducer:
         self._allowed: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        # The transducer's input letters so far: 1 if they are an arc's, plus 2 if an arc goes on from them.
-        self.steps = {p: int(not self.merges or self._merged(p) == [p]) for p in self.score}
-        for prefix in {p[:k] for p, arc in self.steps.items() if arc for k in range(1, len(p))}:
-            self.steps[prefix] = self.steps.get(prefix, 0) | 2
+        # Arcs by the letters that they read: a node has, by letter, the next node, the piece that ends there (or None) and its weight.
+        self.arcs = {p for p in self.score if not self.merges or self._merged(p) == [p]}
+        self.start: dict[str, list] = {}
+        for piece in self.arcs:
+            node = self.start
+            for letter in piece:
+                entry = node.setdefault(letter, [{}, None, 0.0])
+                node = entry[0]
+            entry[1:] = [piece, -self.score[piece]]
 
     def _merged(self, text: str) -> list[str]:
         """The result of merging the best-scored neighbours, the leftmost of equal ones, as long as there are any."""
@@ -175,7 +180,7 @@ class Transducer:
                 self._allowed.clear()
             if a[-1] + b[0] not in self.inside:  # no merge reaches over the border
                 found = True
-            elif self.steps.get(a + b, 0) & 1:  # the two become one
+            elif a + b in self.arcs:  # the two become one
                 found = False
             else:
                 found = self._merged(a + b) == [a, b]
@@ -191,30 +196,40 @@ class Transducer:
         one whose last arc begins first stays, as in the library; unigram weights are summed
         in single precision as there.
         """
-        steps, merges, allowed = self.steps, self.merges, self._allowed
-        if merges and steps.get(text, 0) & 1:  # merging the whole gives one piece
+        merges, allowed, start, unknown = self.merges, self._allowed, self.start, -float(self.least)
+        if merges and text in self.arcs:  # merging the whole gives one piece
             return [text]
-        n, score, unknown = len(text), self.score, float(self.least)
+        n = len(text)
         weight: list[float] = [0.0] + [inf] * n
         back: list[tuple[str, int]] = [("", 0)] * (n + 1)
         for begin in range(n):
             so_far = weight[begin]
             if so_far == inf:
                 continue
-            last = back[begin][0]
-            for end in range(begin + 1, n + 1):
-                piece = text[begin:end]
-                step = steps.get(piece)
-                if step is None and end > begin + 1:
-                    break
-                if step is None or step & 1 or end == begin + 1:
-                    w = so_far - score.get(piece, unknown)
-                    if not merges:
-                        w = float(np.float32(w))
-                    if w < weight[end] and (not merges or not last or (allowed[last, piece] if (last, piece) in allowed else self._follows(last, piece))):
-                        weight[end], back[end] = w, (piece, begin)
-                if step is None or step < 2:
+            last, node = back[begin][0], start
+            if text[begin] not in node or node[text[begin]][1] is None:
+                w, piece = so_far + unknown, text[begin]
+                w = w if merges else float(np.float32(w))
+                if w < weight[begin + 1] and (not merges or not last or self._follows(last, piece)):
+                    weight[begin + 1], back[begin + 1] = w, (piece, begin)
+            for end in range(begin, n):
+                entry = node.get(text[end])
+                if entry is None:
                     break
+                node, piece, w = entry
+                if piece is None:
+                    continue
+                w += so_far
+                if not merges:
+                    w = float(np.float32(w))
+                if w < weight[end + 1]:
+                    if merges and last:
+                        ok = allowed.get((last, piece))
+                        if ok is None:
+                            ok = self._follows(last, piece)
+                        if not ok:
+                            continue
+                    weight[end + 1], back[end + 1] = w, (piece, begin)
         out, end = [], n
         while end:
             piece, end = back[end]
@@ -234,9 +249,10 @@ class Transducer:
 
     def _ids(self, segment: str) -> bytes:
         ids: list[int] = []
-        for piece in self._taken(segment):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
+        of = self.ids
+        for piece in self._taken(segment) if self.frozen else self.path(segment):
+            if piece in of:
+                ids.append(of[piece])
             elif self.bytes:
                 ids += [self.bytes[b] for b in piece.encode()]
             elif not ids or ids[-1] != self.unknown:
