@@ -107,7 +107,26 @@ def _unescaped(column: str) -> str:
 
 _FILLED = r"[^\x20\x09-\x0D]"
 
+#: The table of CRC-32 by its rule, and a text's checksum by it.
+_CRC_TABLE = "SELECT list(v ORDER BY i) tab FROM (SELECT i, list_reduce(range(0, 8), lambda a, k: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END), i) v FROM range(0, 256) r(i))"
+_CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda b: ('0x' || b)::BIGINT), lambda a, n: xor(a >> 8, list_extract(tab, CAST(xor(a, n) & 255 AS INT) + 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
 SQL = {
+    "op1_sharding": f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, coalesce('=' || source, '') s, coalesce(text, '') x FROM documents),
+k AS (SELECT doc_id, s, CAST(strlen(x) + 1 AS BIGINT) size, {_CRC} crc, ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT key FROM d, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY key, doc_id NULLS FIRST, crc, size) rk, count(*) OVER (PARTITION BY s) c FROM k),
+o AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * rk - 1 AS DOUBLE) / CAST(2 * c AS DOUBLE), s, key, doc_id NULLS FIRST, crc, size) - 1 place, count(*) OVER () n FROM r)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(place * {N_SHARDS} // n AS INT) AS shard, CAST(place - ((place * {N_SHARDS} // n) * n + {N_SHARDS - 1}) // {N_SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM o""",
+    "op9_embedding_dedup": """
+WITH RECURSIVE e AS (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) v FROM embeddings),
+g AS (SELECT r, vec_id, v, coalesce(len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0, FALSE) ok FROM e),
+p AS (SELECT a.r a, b.r b FROM g a JOIN g b ON a.r <> b.r AND a.ok AND b.ok AND len(a.v) = len(b.v) WHERE a.v = b.v OR list_cosine_similarity(a.v, b.v) >= 0.95),
+c(node, seen) AS (SELECT r, r FROM g UNION SELECT c.node, p.b FROM c JOIN p ON c.seen = p.a),
+m AS (SELECT node, min(vec_id) low FROM c JOIN g ON g.r = c.seen GROUP BY node),
+n AS (SELECT a, count(*) n FROM p GROUP BY a)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, low AS component_id, vec_id IS NOT DISTINCT FROM low AS kept FROM g JOIN m ON m.node = g.r LEFT JOIN n ON n.a = g.r""",
     "op2_url_filter": rf"""
 WITH p AS (SELECT page_id, coalesce(url, '') u FROM pages),
 h AS (SELECT page_id, CASE WHEN contains(u, '://') THEN translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END host,
