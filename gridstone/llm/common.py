@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,19 @@ def mark_for(*tables: DataFrame) -> str:
     return mark
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns of these names, in any case, under names of no other column, and what they were: {new: old}."""
+    mark, taken = mark_for(df), {n.lower() for n in names}
+    back = {f"{mark}{k}": c for k, c in enumerate(df.columns) if c.lower() in taken}
+    return df.withColumnsRenamed({old: new for new, old in back.items()}), back
+
+
+def restored(df: DataFrame, columns: list[str], back: dict[str, str]) -> DataFrame:
+    """The columns of a table before aside(), in their order."""
+    new = {old: name for name, old in back.items()}
+    return df.select(*[named(new.get(c, c)).alias(c) for c in columns])
+
+
 def named(column: str) -> Column:
     """A column by its whole name, whatever characters it has."""
     return F.col("`" + column.replace("`", "``") + "`")

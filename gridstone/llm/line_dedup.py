@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, digest, mark_for, named
+from gridstone.llm.common import aside, checkpoint, digest, mark_for, named, restored
 
 #: A line on so many different sites is boilerplate.
 LEAST_SITES = 8
@@ -68,3 +68,9 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", id_column:
     n_removed = F.when(F.col(left).isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size(left)).cast("long")
     whole = F.when(F.col(left).isNull(), named(text)).otherwise(F.array_join(left, "\n")).alias(text)
     return d.select(*[whole if c == text else named(c) for c in kept_names], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_column: str = "doc_id", least_sites: int = LEAST_SITES) -> DataFrame:
+    """docs with their own columns, whatever the names, and the texts of clean()."""
+    rows, back = aside(docs, ["n_lines", "n_removed"])
+    return restored(clean(rows, text, site, id_column, least_sites), docs.columns, back)

@@ -12,7 +12,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import mark_for, named
+from gridstone.llm.common import aside, mark_for, named, restored
 
 #: Labelled rows that the learner gets at most: those of the smallest hashes of their ids.
 MOST_LABELLED = 6_000
@@ -219,3 +219,9 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """
     d = with_statistics(docs.drop("base_failed", "kept"), text).withColumn("base_failed", base_failed())
     return d.withColumn("kept", ~F.col("base_failed") & ~rejected(rules))
+
+
+def accepted(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns and values, whatever the names; see judge()."""
+    rows, back = aside(docs, [n for n in (*_STATS, *FEATURES, "base_failed", "kept") if n != text])
+    return restored(judge(rows, rules, text).where("kept"), docs.columns, back)
