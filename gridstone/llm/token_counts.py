@@ -82,8 +82,8 @@ def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | Non
     return stored.where(F.col("version") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
-#: Contents that several rows have, of which so many are broadcast at most; more are joined by shuffles.
-MOST_REPEATED = 500_000
+#: Digests to pick rows by that are broadcast at most; more are joined by shuffles.
+MOST_LISTED = 500_000
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text", normalise=collapse_white) -> DataFrame:
@@ -101,12 +101,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     whole = normalise(named(text))
     todo = docs.select(whole.alias("text")).select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("content"), "text")
     stored = read_cache(spark, cache, version)
-    if stored is not None:
-        todo = todo.join(stored.select("content"), "content", "left_anti")
-    repeated, n = settled(todo.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content"))
-    listed = F.broadcast(repeated) if n <= MOST_REPEATED else repeated
-    alone = todo.join(listed, "content", "left_anti")
-    shared = todo.join(listed, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
+    counted = todo.groupBy("content").agg(F.count("*").alias("n"))
+    if stored is None:
+        listed, n = settled(counted.where("n > 1").select("content"))
+        once = todo.join(F.broadcast(listed) if n <= MOST_LISTED else listed, "content", "left_anti")
+        shared = listed
+    else:  # only digests meet what is stored; then the rows of what it lacks are picked
+        listed, n = settled(counted.join(stored.select("content"), "content", "left_anti"))
+        some = lambda where: listed.where(where).select("content")
+        once = todo.join(F.broadcast(some("n = 1")) if n <= MOST_LISTED else some("n = 1"), "content", "left_semi")
+        shared = some("n > 1")
+    many = todo.join(F.broadcast(shared) if n <= MOST_LISTED else shared, "content", "left_semi")
+    many = many.groupBy("content").agg(F.first("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)
@@ -114,9 +120,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
             counts = [count(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
-    fresh = alone.select("content", "text").union(shared).mapInArrow(encode, "content binary, n_tokens long")
+    fresh = once.select("content", "text").union(many).mapInArrow(encode, "content binary, n_tokens long")
     fresh.select("content", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    discard(repeated)
+    discard(listed)
     known = read_cache(spark, cache, version).withColumnRenamed("content", key)
     rows = docs.drop("n_tokens").withColumn(key, F.unhex(F.md5(whole.cast("binary"))))
     return rows.join(known, key).drop(key)

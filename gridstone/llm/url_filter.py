@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridstone.llm.common import mark_for, named
 
 #: The filter never outgrows this; a longer list means more false hits, which the exact join removes.
-MOST_BYTES = 64 << 20
+MOST_BYTES = 32 << 20
 _LANES = 8  # a block is 8 words of 64 bits; an entry sets one bit in each
 
 
@@ -79,10 +79,9 @@ class BlockedBloom:
         blocks = max(1, min(-(-n * bits_per_entry // 512), most_bytes // 64))
         h, g = _two_hashes(F.col(column))
         lanes = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(g, {6 * i}) & 63 as int))")).alias(f"w{i}") for i in range(_LANES)]
-        rows = entries.select(F.pmod(h, F.lit(blocks)).alias("block"), g.alias("g")).groupBy("block").agg(*lanes).collect()
+        rows = entries.select(F.pmod(h, F.lit(blocks)).alias("block"), g.alias("g")).groupBy("block").agg(*lanes).toArrow()
         words = np.zeros((blocks, _LANES), dtype=np.int64)
-        for r in rows:
-            words[r[0]] = r[1:]
+        words[rows.column(0).to_numpy()] = np.stack([rows.column(1 + i).to_numpy() for i in range(_LANES)], axis=1)
         return cls(words.view(np.uint64))
 
     def holds(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:

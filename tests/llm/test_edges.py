@@ -94,7 +94,7 @@ def test_a_list_is_read_from_a_table(spark, tmp_path):
 
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_each_content_is_encoded_once(spark, docs, monkeypatch, most, tmp_path):
-    monkeypatch.setattr(token_counts, "MOST_REPEATED", most)
+    monkeypatch.setattr(token_counts, "MOST_LISTED", most)
     seen = f"{tmp_path}/seen"
     inner = token_counts.ChunkCounter.__call__
 
@@ -110,8 +110,10 @@ def test_each_content_is_encoded_once(spark, docs, monkeypatch, most, tmp_path):
     lines = collections.Counter(open(seen).read().splitlines())
     contents = {" ".join((t or "").split()) for t in [*TEXTS, *(f"on every site\n{words(k, 20)}" for k in range(9))]}
     assert len(lines) == len(contents) and set(lines.values()) == {1}
-    token_counts.count_tokens(rows, path, cache).count()
-    assert sum(collections.Counter(open(seen).read().splitlines()).values()) == len(contents)
+    more = rows.union(rows.where("doc_id = 3").withColumn("text", F.lit("two more words")).limit(2)).union(rows.where("doc_id = 3").limit(1).withColumn("text", F.lit("one more")))
+    assert token_counts.count_tokens(more, path, cache).count() == more.count()
+    lines = collections.Counter(open(seen).read().splitlines())
+    assert len(lines) == len(contents) + 2 and set(lines.values()) == {1}
 
 
 # ---------------------------------------------------------------- WARC
@@ -143,11 +145,14 @@ def _clouds(kind, n, rng, dim=64):
         v = noise - (noise * u).sum(axis=1, keepdims=True) * u
         v /= np.linalg.norm(v, axis=1, keepdims=True)
         return np.concatenate([u, 0.951 * u + np.sqrt(1 - 0.951**2) * v])  # each pair just above the threshold
+    if kind == "hot topic":  # a third of all around one direction, too far apart to link but for pairs among them
+        u = 0.8 * rng.standard_normal(dim) + 0.8 * rng.standard_normal((n // 3, dim))
+        return np.concatenate([u, u[: n // 6] + 0.22 * rng.standard_normal((n // 6, dim)), rng.standard_normal((n // 2, dim))])
     hot = rng.standard_normal(dim) + 0.18 * rng.standard_normal((n // 3, dim))
     return np.concatenate([hot, rng.standard_normal((n - n // 3, dim))])
 
 
-@pytest.mark.parametrize(("kind", "n", "tasks"), [("lone pairs", 6000, 1 << 16), ("lone pairs", 6000, 500), ("hot", 3000, 1 << 16), ("hot", 3000, 300)])
+@pytest.mark.parametrize(("kind", "n", "tasks"), [("lone pairs", 6000, 1 << 16), ("lone pairs", 6000, 500), ("hot topic", 9000, 1 << 16), ("hot topic", 9000, 500), ("hot", 3000, 1 << 16), ("hot", 3000, 300)])
 def test_embedding_recall_against_brute_force(spark, monkeypatch, kind, n, tasks):
     monkeypatch.setattr(embedding_dedup, "TASK_ROWS", tasks)
     x = _clouds(kind, n, np.random.default_rng(n)).astype(np.float32)
