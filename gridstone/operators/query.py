@@ -198,10 +198,25 @@ def _axes(store: Store, rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("*", *[c.alias(a) for a, c in zip(("bt", "by", "bx"), block_axes(store.spec), strict=True)], *more)
 
 
+def _over(store: Store, y: tuple[int, int], x: tuple[int, int]) -> Column:
+    """A filter that Parquet takes down to its pages: where in their chunk blocks that a box meets lie, if it meets the chunks at one place of the grid alone."""
+    spec = store.spec
+    cy, cx = ((ends[0] // c, (ends[1] - 1) // c) for ends, c in ((y, spec.chunk[1]), (x, spec.chunk[2])))
+    if cy[0] != cy[1] or cx[0] != cx[1]:
+        return F.lit(True)
+    pos = np.arange(spec.blocks_per_chunk)
+    _, by, bx = spec.corners(np.zeros_like(pos), pos)
+    inside = lambda b, ends, c, size: (b + 4 > ends[0] - c * size) & (b < ends[1] - c * size)
+    met = np.flatnonzero(inside(by, y, cy[0], spec.chunk[1]) & inside(bx, x, cx[0], spec.chunk[2]))
+    return F.col("pos").between(int(met.min()), int(met.max())) if len(met) else F.lit(False)
+
+
 def point_series(store: Store, points: DataFrame) -> DataFrame:
     """(t, y, x, v) of points (y, x) over all t: only blocks over a point are decoded, each once. points are few: a request's own."""
     near = points.select(F.floor(F.col("y") / 4).cast("int").alias("by"), F.floor(F.col("x") / 4).cast("int").alias("bx")).distinct()
-    rows = _axes(store, store.payload).join(F.broadcast(near), ["by", "bx"], "left_semi")
+    ends = points.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in "yx" for f in (F.min, F.max)]).first()
+    box = ((ends.min_y, ends.max_y + 1), (ends.min_x, ends.max_x + 1)) if ends.min_y is not None else ((0, 1), (0, 1))
+    rows = _axes(store, store.payload.where(_over(store, *box))).join(F.broadcast(near), ["by", "bx"], "left_semi")
     return cells_of(store, decoded(rows, store.spec)).join(F.broadcast(points.select("y", "x").distinct()), ["y", "x"], "left_semi").select("t", "y", "x", "v")
 
 
@@ -221,7 +236,7 @@ def region(store: Store, y: tuple[int, int], x: tuple[int, int], layer: int | No
     _c: the same with each block's own error. blocks: how many were decoded.
     """
     spec, top = store.spec, store.spec.top if layer is None else layer
-    rows = _axes(store, store.payload).where(_touching(y, x))
+    rows = _axes(store, store.payload.where(_over(store, y, x))).where(_touching(y, x))
     rows = rows.select("by", "bx", F.col(f"eps{top}").alias("unit"), block_error(spec, top).alias("block"), "valid", *layer_columns(spec, top))
     values = decoding(spec, top, 5)
     inner = np.indices((4, 4, 4)).reshape(3, 64)

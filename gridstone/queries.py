@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.bounds import range_bounds
 from gridstone.functions.expr import in_range, key_value, pack_nibbles, sort_key, unpack_nibbles
-from gridstone.operators import explore, query
+from gridstone.operators import explore, query, sweep
 from gridstone.plans import planner
 from gridstone.plans.options import QueryOptions
 from gridstone.plans.spec import ArraySpec
@@ -236,6 +236,14 @@ for _name, _gap, _most in (("merge_runs_gap0", 0, None), ("merge_runs_gap2", 2,
     )
 
 
+_GAPS = (0, 1, 2, 8)
+_add(
+    "gap_sweep",
+    lambda s, d: sweep.gaps(store(s, d, "QTY"), 1.5, 49.0, _GAPS),
+    f"WITH {_states_sql('QTY', 1.5, 49.0)}, " + ", ".join(f"r{g} AS (SELECT *, sum(brk) OVER (PARTITION BY chunk_id ORDER BY pos) run FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chunk_id ORDER BY pos) <= {g} + 1 THEN 0 ELSE 1 END brk FROM s WHERE st = 2)), m{g} AS (SELECT max(pos) - min(pos) + 1 span FROM r{g} GROUP BY chunk_id, run)" for g in _GAPS) + " " + " UNION ALL ".join(f"SELECT CAST({g} AS BIGINT) AS gap, count(*) AS payload_requests, CAST(sum(span) * 192 AS BIGINT) AS payload_bytes_read FROM m{g}" for g in _GAPS),
+)
+
+
 def _ranges(s: SparkSession, d: str) -> DataFrame:
     docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "n_chars")
     from pyspark.sql import Window as W
@@ -492,6 +500,18 @@ def _zarr(s: SparkSession, d: str, packing: str | None) -> DataFrame:
 for _name, _packing in (("zarr_count", None), ("zarr_packed_count", "planar-zstd")):
     _add(_name, lambda s, d, p=_packing: _zarr(s, d, p), f"WITH {_cells_sql('DAY')} SELECT count(*) FILTER ({_in(1500.0, 1700.0)}) AS count, CAST(count(*) // 64 AS BIGINT) AS total_blocks FROM c WHERE t < (SELECT count(*) // 4096 * 16 FROM c)")
 
+_SELECTED = (0.01, 0.1, 0.5)
+_add(
+    "selectivity_sweep",
+    lambda s, d: sweep.selectivities(store(s, d, "DAY"), cells(s, d, "DAY")[0], _SELECTED).select("selectivity", F.round("threshold", 6).alias("threshold"), "count", "truth", "count_error"),
+    f"WITH {_cells_sql('DAY')}, k AS (" + " UNION ALL ".join(f"SELECT CAST({x} AS DOUBLE) AS selectivity, quantile_cont(v, {1 - x}) AS threshold FROM c" for x in _SELECTED) + ") SELECT selectivity, round(threshold, 6) AS threshold, (SELECT count(*) FROM c WHERE v > k.threshold) AS count, (SELECT count(*) FROM c WHERE v > k.threshold) AS truth, CAST(0 AS DOUBLE) AS count_error FROM k",
+)
+_add(
+    "ablation_counts",
+    lambda s, d: sweep.ablation(store(s, d, "DAY"), cells(s, d, "DAY")[0], 1500.0).select("config", "count"),
+    f"WITH {_cells_sql('DAY')} SELECT config, (SELECT count(*) FROM c WHERE v > 1500) AS count FROM (VALUES ('default'), ('gap_0'), ('gap_64k'), ('order_time'), ('layers'), ('codes'), ('no_pruning')) k(config)",
+)
+
 # ---------------------------------------------------------------- statistics
 
 _QS = [0.0, 0.1, 0.333, 0.5, 0.9, 0.99, 1.0]
