@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import aside, checkpoint, digest, mark_for, named, restored
+from gridstone.llm.common import aside, digest, mark_for, named, restored, settled
 
 #: A line on so many different sites is boilerplate.
 LEAST_SITES = 8
 #: log2 of a sketch's size, and three of its standard errors.
 LG_K, MARGIN = 10, 0.1
+#: Lines that are broadcast at most, so that a frequent line's rows aren't shuffled to one task; more are joined by shuffles.
+MOST_LISTED = 500_000
 
 
 def _line_hash(line: Column) -> Column:
@@ -35,10 +37,11 @@ def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", id_co
     # A site's rows of a line first become one, then sketches merge: both by partial aggregation.
     sketched = rows.groupBy("h").agg(F.min("id").alias("owner"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
     spread = sketched.select("h", "owner", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least_sites * (1 - MARGIN) - 1)
-    spread = checkpoint(spread)
+    spread, n = settled(spread)
     sure = spread.where(F.col("sites") > least_sites * (1 + MARGIN) + 1).select("h", "owner")
     near = spread.where(F.col("sites") <= least_sites * (1 + MARGIN) + 1)
-    exact = rows.join(near.select("h"), "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_sites)
+    asked = near.select("h")
+    exact = rows.join(F.broadcast(asked) if n <= MOST_LISTED else asked, "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= least_sites)
     return sure.union(near.join(exact.select("h"), "h", "left_semi").select("h", "owner"))
 
 
@@ -52,7 +55,8 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", id_column:
     no rows. Columns n_lines and n_removed of docs are replaced, any other kept, whatever
     its name.
     """
-    bad = checkpoint(boilerplate(docs, text, site, id_column, least_sites))
+    bad, n_bad = settled(boilerplate(docs, text, site, id_column, least_sites))
+    bad = F.broadcast(bad) if n_bad <= MOST_LISTED else bad
     mark = mark_for(docs)
     node, found_bad, mine, left = (f"{mark}{x}" for x in ("node", "bad", "mine", "left"))
     kept_names = docs.drop("n_lines", "n_removed").columns
