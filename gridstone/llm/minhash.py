@@ -186,8 +186,8 @@ def keys_of(nodes: DataFrame, idf, common) -> DataFrame:
     return nodes.select("node", "text").mapInArrow(sign, "key long, node binary, marks binary, central float")
 
 
-#: Pairs whose names are broadcast at most, so that other texts aren't shuffled; more pairs meet all texts by joins.
-MOST_NAMED = 100_000
+#: Names of texts, and pairs of them, that are broadcast at most, so that other texts aren't shuffled; more meet all texts by joins.
+MOST_WANTED, MOST_NAMED = 500_000, 100_000
 
 
 def verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, idf, least: float) -> DataFrame:
@@ -338,8 +338,10 @@ def groups(docs: DataFrame, id_column: str = "doc_id", least: float = 0.8) -> Da
     shared = keys.groupBy("key").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
     many, _ = settled(keys.select("key", "node", "marks").join(shared.select("key", F.col("top.node").alias("center")), "key"))  # the keys that texts share
     # Any row has a text that equals another's, so one is taken before texts meet their pairs.
-    texts, _ = settled(rows.join(many.select("node").distinct(), "node", "left_semi").select("node", "text").dropDuplicates(["node"]), wide=True)
-    discard(keys)
+    wanted, n_wanted = settled(many.select("node").distinct())
+    wanted_rows = rows.join(F.broadcast(wanted) if n_wanted <= MOST_WANTED else wanted, "node", "left_semi")
+    texts, _ = settled(wanted_rows.select("node", "text").dropDuplicates(["node"]), wide=True)
+    discard(keys, wanted)
     compared, n = settled(many.where("node != center").select(_pair("node", "center")).select("p.*").distinct())
     links, _ = settled(verified(compared, n, texts, idf, least))
     members, _ = settled(many.join(components(links), "node", "left").select("key", "node", "marks", "center", F.coalesce("component", "node").alias("label")))
