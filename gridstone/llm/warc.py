@@ -189,12 +189,29 @@ def read(spark, folder: str) -> DataFrame:
     return stored.mapInArrow(records, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
-def export(spark, folder: str, to: str) -> list[str]:
-    """Save the archives as files below a local folder, one at a time; returns their names."""
+def export(spark, folder: str, to: str, by_tasks: bool = False) -> list[str]:
+    """Save the archives as files below a folder and return their names.
+
+    By default one after another through the driver, to a folder of its own. by_tasks: each
+    task writes its archives itself; the folder must be mounted on all executors under the
+    same path. A file appears whole or not at all, and a task that runs again replaces it.
+    """
+    import os
     from pathlib import Path
 
-    names = []
-    for row in spark.read.parquet(folder).toLocalIterator():
-        (Path(to) / row.archive).write_bytes(row.content)
-        names.append(row.archive)
-    return names
+    def save(name: str, content: bytes) -> str:
+        part = Path(to) / f".{name}.{uuid.uuid4().hex}"
+        part.write_bytes(content)
+        os.replace(part, Path(to) / name)
+        return name
+
+    stored = spark.read.schema("archive string, content binary").parquet(folder)
+    if not by_tasks:
+        return [save(row.archive, row.content) for row in stored.toLocalIterator()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([save(name.as_py(), content.as_py())])], ["archive"])
+
+    return sorted(r.archive for r in stored.mapInArrow(work, "archive string").collect())  # a name for each file

@@ -134,6 +134,19 @@ def test_warc_of_repeated_and_large_pages(spark, monkeypatch, tmp_path, most):
     assert kinds == {(4, "response"): 5, (n, "response"): 1, (n, "revisit"): 1, (0, "response"): 1}
 
 
+def test_archives_are_saved_by_tasks(spark, tmp_path):
+    rows = [(k, f"http://x/{k}", words(k, 300)) for k in range(50)]
+    folder, names = f"file://{tmp_path}/a", {}
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), folder)
+    for by_tasks in (False, True):
+        to = tmp_path / str(by_tasks)
+        to.mkdir()
+        names[by_tasks] = sorted(warc.export(spark, folder, str(to), by_tasks))
+        assert sorted(p.name for p in to.iterdir()) == names[by_tasks]
+        assert sum(len(list(warc.read_records(p.read_bytes()))) for p in to.iterdir()) == 50
+    assert names[False] == names[True] and len(names[True]) >= 4
+
+
 # ---------------------------------------------------------------- embeddings
 
 
