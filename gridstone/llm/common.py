@@ -64,6 +64,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What an operator remembers in a worker from task to task; what other operators left there goes, so that memory is that of one."""
+    for other in [o for o in _kept if o != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
 def digest(text: Column) -> Column:
     """16 bytes that stand for a text; a null text counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import checkpoint, components, digest, discard, mark_for, mix, named, settled, shingles, text_groups, word_hashes
+from gridstone.llm.common import checkpoint, components, digest, discard, kept, mark_for, mix, named, settled, shingles, text_groups, word_hashes
 
 U64 = np.uint64
 BUCKETS = 1 << 18
@@ -121,6 +121,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     width = BUCKETS // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("minhash")
         counts, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for at, to, data, ends in text_groups(batch.column(0)):
@@ -160,7 +161,9 @@ def keys_of(nodes: DataFrame, idf, common) -> DataFrame:
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, weights, logs, done = Sampler(), idf.value, common.value, set()
+        mine = kept("minhash")
+        sampler = mine["sampler"] = mine.get("sampler") or Sampler()
+        weights, logs, done = idf.value, common.value, set()
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at, to, data, ends in text_groups(batch.column(1), 512 << 10):
@@ -190,6 +193,13 @@ def keys_of(nodes: DataFrame, idf, common) -> DataFrame:
 MOST_WANTED, MOST_NAMED = 500_000, 100_000
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[zip]:
+    """Rows of batches as tuples, a few at a time, so that texts aren't held twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield zip(*(c.to_pylist() for c in batch.slice(at, rows).columns), strict=True)
+
+
 def verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, idf, least: float) -> DataFrame:
     """Of pairs (a, b) those whose texts are similar enough. Texts of hot nodes meet their pairs by joins that AQE can split."""
     if n_pairs <= MOST_NAMED:
@@ -197,19 +207,19 @@ def verified(pairs: DataFrame, n_pairs: int, nodes: DataFrame, idf, least: float
         nodes = nodes.join(F.broadcast(named), "node", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, kept = idf.value, OrderedDict()
+        weights, recent = idf.value, OrderedDict()
 
         def parsed(node: bytes, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-            if node not in kept:
+            if node not in recent:
                 data = np.frombuffer(text, np.uint8)
-                kept[node] = weighted(word_hashes(data, np.array([len(data)]))[0], weights)
-                if len(kept) > 200:
-                    kept.popitem(last=False)
-            kept.move_to_end(node)
-            return kept[node]
-
-        for batch in batches:
-            out = [(a, b) for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if similarity(parsed(b, t), parsed(a, s)) >= least]
+                recent[node] = weighted(word_hashes(data, np.array([len(data)]))[0], weights)
+                if len(recent) > 200:
+                    recent.popitem(last=False)
+            recent.move_to_end(node)
+            return recent[node]
+
+        for rows in _slices(batches):
+            out = [(a, b) for a, b, s, t in rows if similarity(parsed(b, t), parsed(a, s)) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["a", "b"])
 
     text = nodes.select("node", F.col("text").cast("binary").alias("text")).hint("merge")
@@ -306,8 +316,8 @@ def remaining(members: DataFrame, texts: DataFrame, idf, least: float) -> DataFr
         def batch_of(links: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), pa.array([x[1] for x in links], pa.binary())], ["a", "b"])
 
-        for batch in batches:
-            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rows in _slices(batches):
+            for key, *row in rows:
                 if (key, row[0], row[1]) != at:
                     if block:
                         yield batch_of(_links_in(block, weights, least))

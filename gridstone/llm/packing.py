@@ -15,13 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.llm.common import kept
+
 CAPACITY = 1024
 #: Windows that one differencing balances, and tokens of a part that moves as one.
 WINDOWS, PART = 32, 256
 #: Tokens that a full group leaves free, so that near-equal windows stay within the capacity.
 SLACK = 8
-#: Chunks whose ids a worker remembers at most; then it starts anew.
-MOST_CHUNKS = 800_000
+#: Chunks whose ids a worker remembers at most (about 100 MB); then it starts anew.
+MOST_CHUNKS = 400_000
 
 
 #: The published pattern by which byte-level tokenizers split texts; fixed value.
@@ -92,13 +94,12 @@ class ByteTokenizer:
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
 
-_tokenizers: dict[str, ByteTokenizer] = {}
-
-
 def byte_tokenizer(path: str) -> ByteTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = ByteTokenizer(path)
-    return _tokenizers[path]
+    """One tokenizer for each file in a worker."""
+    mine = kept("packing")
+    if path not in mine:
+        mine[path] = ByteTokenizer(path)
+    return mine[path]
 
 
 def difference(sizes: list[int], m: int) -> list[list[int]]:

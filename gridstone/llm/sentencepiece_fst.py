@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridstone.llm.common import kept
+
 BAR = "▁"
 #: Segments and pairs that a worker remembers at most; then it starts anew.
 MOST_SEGMENTS, MOST_PAIRS = 1_200_000, 1_000_000
@@ -306,14 +308,12 @@ class Transducer:
         return b"".join(pieces).decode("utf-8", "replace").replace(BAR, " ")
 
 
-_transducers: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
     """One compiled transducer for each model in a worker."""
-    if path not in _transducers:
-        _transducers[path] = Transducer(path)
-    return _transducers[path]
+    mine = kept("sentencepiece")
+    if path not in mine:
+        mine[path] = Transducer(path)
+    return mine[path]
 
 
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:

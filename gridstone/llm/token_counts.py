@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridstone.llm.common import discard, mark_for, named, settled, shared_folder
+from gridstone.llm.common import discard, kept, mark_for, named, settled, shared_folder
 
 #: Chunks between white space whose counts a worker remembers at most; then it starts anew.
 MOST_CHUNKS = 1_200_000
@@ -62,14 +62,12 @@ class ChunkCounter:
             return sum(map(self.known.__getitem__, chunks))
 
 
-_counters: dict[str, ChunkCounter] = {}
-
-
 def counter(path: str) -> ChunkCounter:
     """One counter for each tokenizer in a worker."""
-    if path not in _counters:
-        _counters[path] = ChunkCounter(path)
-    return _counters[path]
+    mine = kept("token counts")
+    if path not in mine:
+        mine[path] = ChunkCounter(path)
+    return mine[path]
 
 
 def read_cache(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
