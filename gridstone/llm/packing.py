@@ -22,8 +22,8 @@ CAPACITY = 1024
 WINDOWS, PART = 32, 256
 #: Tokens that a full group leaves free, so that near-equal windows stay within the capacity.
 SLACK = 8
-#: Chunks whose ids a worker remembers at most (about 100 MB); then it starts anew.
-MOST_CHUNKS = 400_000
+#: Chunks whose ids a worker remembers at most (about 120 MB): those met lately, and those met before them.
+MOST_CHUNKS = 500_000
 
 
 #: The published pattern by which byte-level tokenizers split texts; fixed value.
@@ -49,6 +49,7 @@ class ByteTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.word = self._ranked(path) or (lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids)
 
     def _ranked(self, path: str):
@@ -70,13 +71,16 @@ class ByteTokenizer:
 
     def _fill(self, chunks: list[str]) -> None:
         """A chunk that begins with a line feed stands for itself, any other for a space and itself."""
-        known, word = self.known, self.word
-        if len(known) > MOST_CHUNKS:
-            known.clear()
+        if len(self.known) > MOST_CHUNKS // 2:  # what isn't met again goes with the next turn
+            self.older, self.known = self.known, {}
+        known, older, word = self.known, self.older, self.word
         for x in chunks:
             if x not in known:
-                ids = word(x if x[:1] == "\n" else " " + x)
-                known[x] = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+                packed = older.get(x)
+                if packed is None:
+                    ids = word(x if x[:1] == "\n" else " " + x)
+                    packed = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+                known[x] = packed
 
     def __call__(self, text: str) -> bytes:
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "<|" in text or self._rare.search(text):
