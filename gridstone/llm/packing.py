@@ -22,8 +22,8 @@ CAPACITY = 1024
 WINDOWS, PART = 32, 256
 #: Tokens that a full group leaves free, so that near-equal windows stay within the capacity.
 SLACK = 8
-#: Chunks whose ids a worker remembers at most (about 120 MB): those met lately, and those met before them.
-MOST_CHUNKS = 500_000
+#: Chunks whose ids a worker remembers at most (about 80 MB): those met lately, and those met before them.
+MOST_CHUNKS = 300_000
 
 
 #: The published pattern by which byte-level tokenizers split texts; fixed value.
